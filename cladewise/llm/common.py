@@ -128,10 +128,3 @@ class Rolling:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
-
-
-def array_of(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    """Arrow lists from numpy arrays, without Python numbers between."""
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    flat = np.concatenate(lists) if lists else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))

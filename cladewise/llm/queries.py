@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, substring, token_index, warc
+from . import jaccard, kd_shards, mixing, secret_scan, substring, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +22,31 @@ def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_table(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_table(spark, sf_dir, "documents"), length=35, texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").alias("refers_to"))
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op7_substring": op7_substring, "op9_warc": op9_warc}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 OP9 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
