@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, kd_shards, mixing, near_vectors, secret_scan, substring, token_index, warc
+from . import decontaminate, jaccard, kd_shards, mixing, near_vectors, secret_scan, substring, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_table(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "coverage", "n_windows", "verbatim")
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -50,7 +55,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op4_decontaminate": op4_decontaminate, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 OP9 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
