@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, kd_shards, mixing, near_vectors, secret_scan, substring, token_index, warc
+from . import cotrain, decontaminate, jaccard, kd_shards, mixing, near_vectors, secret_scan, substring, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotrain.score_documents(docs, cotrain.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op4_decontaminate": op4_decontaminate, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_cotrain": op1_cotrain, "op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op4_decontaminate": op4_decontaminate, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 OP9 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
