@@ -13,9 +13,11 @@ A shard is a pair of files:
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from .common import bytes_of, mix, new_folder, slices, small_batches, stored
 MAGIC = b"MPHIDX01"
 #: Text bytes of a shard, about, and distinct words that a task keeps encoded at a time.
 SHARD_BYTES, CACHED_WORDS = 16 << 20, 400_000
+ENCODED_BYTES = 4 << 20
 #: Stands for a null key; real keys may not take it.
 NULL_KEY = -(1 << 63)
 
@@ -152,31 +155,76 @@ def _get(folder: str, name: str) -> bytes:
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
 
+# Fixed value: the pre-tokenizer pattern under which a run of letters and a run of punctuation are tokens apart.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters and then ASCII punctuation: most words.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)$")
+
+
 class WordEncoder:
     """Encodes words apart, each once, which gives the ids of whole texts for tokenizers that drop white space and let
-    no token span it. Texts are cut at spaces and line feeds only, so other white space is left to the tokenizer."""
+    no token span it. Texts are cut at spaces and line feeds only, so other white space is left to the tokenizer.
+
+    Where the tokenizer's own settings allow (byte-level pieces of APART, lower case), a plain word goes to its model as
+    letters and punctuation, which words share; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        import os
+
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.kind = "<u4" if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
+        made = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and made["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": APART}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
+        self.stems, self.tails = {}, {}
         self.clear()
 
     def clear(self):
-        self.words, self.ids, self.ends = {}, np.empty(1 << 20, "<u4"), np.zeros(1 << 16, np.int64)
+        self.words = {}
+        if len(self.stems) > CACHED_WORDS:
+            self.stems = {}
+        self.ids, self.ends = np.empty(1 << 20, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        if not self.plain:
+            return self._whole(words)
+        out, odd, stems, tails, model = [], [], self.stems, self.tails, self.tokenizer.model
+        for i, w in enumerate(words):
+            if m := PLAIN.match(w):
+                stem, tail = m[1].lower(), m[2]
+                if (ids := stems.get(stem)) is None:
+                    ids = stems[stem] = [t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(self.bytes))]
+                if tail not in tails:
+                    tails[tail] = self._whole([tail])[0]
+                out.append(ids + tails[tail] if tail else ids)
+            else:
+                out.append(None)
+                odd.append(i)
+        for i, ids in zip(odd, self._whole([words[i] for i in odd])):
+            out[i] = ids
+        return out
 
     def _learn(self, words: list[str]) -> None:
         n = len(self.words)
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        sizes = np.fromiter((len(x) for x in got), np.int64, len(got))
+        got = self._encode(words)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         while n + len(words) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        at = self.ends[n]
-        while at + sizes.sum() > len(self.ids):
+        at, more = self.ends[n], int(sizes.sum())
+        while at + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), "<u4")])
         self.ends[n + 1 : n + 1 + len(words)] = at + np.cumsum(sizes)
-        self.ids[at : at + sizes.sum()] = np.fromiter((i for x in got for i in x.ids), "<u4", int(sizes.sum()))
+        self.ids[at : at + more] = np.fromiter(chain.from_iterable(got), "<u4", more)
         self.words.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,17 +233,18 @@ class WordEncoder:
             self.clear()
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
-        own, known = words.dictionary.to_pylist(), self.words
-        if new := [w for w in own if w not in known]:
+        own = words.dictionary.to_pylist()
+        slot = [*map(self.words.get, own)]
+        if new := [w for w, s in zip(own, slot) if s is None]:
             self._learn(new)
-        slot = np.fromiter((known[w] for w in own), np.int64, len(own))[np.asarray(words.indices)]
+            slot = [*map(self.words.get, own)]
+        slot = np.array(slot, np.int64)[np.asarray(words.indices)]
         sizes = self.ends[slot + 1] - self.ends[slot]
         bounds = np.asarray(lists.offsets, np.int64)
         bounds = bounds - bounds[0]
         total = np.concatenate([[0], np.cumsum(sizes)])
         per_text = total[bounds[1:]] - total[bounds[:-1]]
-        flat = np.arange(total[-1]) + np.repeat(self.ends[slot] - total[:-1], sizes)
-        ids = self.ids[flat]
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.ends[slot] - total[:-1], sizes)]
         out = np.full(total[-1] + len(texts), self.end_id, "<u4")
         out[np.arange(total[-1]) + np.repeat(np.arange(len(texts)), per_text)] = ids
         return out, per_text + 1
@@ -242,7 +291,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
         coder = WordEncoder(tokenizer, end_id)
         for batch in batches:
             keys, texts = _keys(batch.column("doc_id")), batch.column("text")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, ENCODED_BYTES):
                 ids, counts = coder.encode(texts[lo:hi])
                 parts = np.split(ids.astype(coder.kind), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays(
