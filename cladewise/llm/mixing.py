@@ -111,3 +111,14 @@ def mix_sources(docs: DataFrame, total: int | None = None, part: float = 0.9, we
     rest = at.where(fits | (F.col("base") > F.col("left"))).withColumn("more", fits.cast("int"))
     taken = rest.unionByName(edge).withColumn("times", F.when(F.col("whole") < epochs, F.col("whole") + F.col("more")).otherwise(F.col("whole")))
     return taken.where("times > 0").select("doc_id", "text_hash", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("epoch"))
+
+
+def take_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as mix_sources() takes it, with the columns of docs.
+
+    Rows that agree in doc_id and text are one row here, taken as often as all of them together.
+    """
+    taken = mix_sources(docs, **how).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count("*").cast("int").alias("_times"))
+    rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["_own", "_text"])
+    met = rows.join(taken, F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
+    return met.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
