@@ -71,7 +71,9 @@ def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_n
     Within a node all bad SNVs move at once, which is what moving them one by one gives: the clades are fixed. `store`
     writes a table and reads it back, to cut the lineage between nodes.
     """
-    store = store or (lambda df: df.cache())
+    from ..storage import keep
+
+    store = store or keep
     cells, snvs = facts.select("cell_id").distinct(), facts.select("snv_id").distinct()
     lost = unplaced(cells, cell_node, "cell_id")
     cell_node = store(cell_node.select("cell_id", "node").union(best_nodes(cell_scores(facts, edges, snv_node, lost), "cell_id").select("cell_id", "node")))

@@ -97,21 +97,21 @@ def ancestor_pairs(edges: DataFrame, owned: DataFrame, ident: str, lost: DataFra
     """Ordered pairs (first, second): the first sits on a proper ancestor of the second's node."""
     if lost is not None:
         raise NotImplementedError("pairs with losses are not defined")
-    x = owned.select(F.col("node").alias("anc"), F.col(ident).alias("first"))
-    y = owned.select("node", F.col(ident).alias("second"))
-    return closure(edges).join(x, "anc").join(y, "node").select("first", "second")
+    x = owned.select(F.col("node").alias("anc"), F.col(ident).alias("id1"))
+    y = owned.select("node", F.col(ident).alias("id2"))
+    return closure(edges).join(x, "anc").join(y, "node").select("id1", "id2")
 
 
 def cluster_pairs(owned: DataFrame, ident: str) -> DataFrame:
-    x = owned.select("node", F.col(ident).alias("first"))
-    y = owned.select("node", F.col(ident).alias("second"))
-    return x.join(y, "node").where("first < second").select("first", "second")
+    x = owned.select("node", F.col(ident).alias("id1"))
+    y = owned.select("node", F.col(ident).alias("id2"))
+    return x.join(y, "node").where("id1 < id2").select("id1", "id2")
 
 
 def incomparable_pairs(edges: DataFrame, owned: DataFrame, ident: str) -> DataFrame:
     x = owned.select(F.col("node").alias("a"), F.col(ident).alias("x"))
     y = owned.select(F.col("node").alias("b"), F.col(ident).alias("y"))
-    return incomparable_nodes(edges).join(x, "a").join(y, "b").select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
+    return incomparable_nodes(edges).join(x, "a").join(y, "b").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"))
 
 
 def pair_counts(edges: DataFrame, owned: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _load() -> None:
         import_module(f"cladewise.plans.{name}")
 
 
-MODULES: list[str] = []
+MODULES = ["likelihoods", "trees"]
 
 
 def queries() -> dict[str, Query]:
