@@ -117,8 +117,8 @@ def presence_by_state(facts: DataFrame, cell_node: DataFrame, bin_state: DataFra
     return at.groupBy("node").agg(F.sum(F.when(F.col("here"), F.coalesce("ll", F.lit(0.0))).otherwise(F.col("ll0"))).alias("variant"))
 
 
-def arms(runs: DataFrame, arm_table: DataFrame) -> DataFrame:
-    """Runs of bins that are a whole arm: the same start, ends at most one apart."""
-    return runs.join(F.broadcast(arm_table), (F.col("l") == F.col("start")) & (F.abs(F.col("r") - F.col("end")) <= 1))
+def arms(runs: DataFrame, arm_table: DataFrame, slack: int = 1) -> DataFrame:
+    """Runs of bins that are a whole arm: the same start, ends at most `slack` apart."""
+    return runs.join(F.broadcast(arm_table), (F.col("l") == F.col("start")) & (F.abs(F.col("r") - F.col("end")) <= slack))
 
 

@@ -30,7 +30,7 @@ def _load() -> None:
         import_module(f"cladewise.plans.{name}")
 
 
-MODULES = ["likelihoods", "trees"]
+MODULES = ["likelihoods", "trees", "splits", "states"]
 
 
 def queries() -> dict[str, Query]:
