@@ -30,7 +30,7 @@ def _load() -> None:
         import_module(f"cladewise.plans.{name}")
 
 
-MODULES = ["likelihoods", "trees", "splits", "states"]
+MODULES = ["likelihoods", "trees", "splits", "states", "texts"]
 
 
 def queries() -> dict[str, Query]:
