@@ -128,3 +128,45 @@ class Rolling:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of each key (integers) as one batch, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([np.asarray(batch.column(c), np.int64) for c in keys], 1)
+        edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+        for lo, hi in zip(edges, edges[1:]):
+            key = tuple(ids[lo].tolist())
+            if held and key != last:
+                yield joined()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield joined()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links a - b."""
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        u, v = top(x), top(y)
+        if u != v:
+            parent[u] = v
+            kept.append(i)
+    return a[kept], b[kept]

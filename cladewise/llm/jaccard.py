@@ -7,9 +7,10 @@ quarter has to be counted over the corpus, since p is usually less. The order af
 
 * A set with p counted shingles that no other set has can link with nothing and is done.
 * The others are collapsed: nodes with the same prefix and the same size form a group.
-* Candidate pairs share a prefix shingle and fit in size. First every node is checked against one partner, the smallest
-  that shares most of its prefix; then components are taken, and only pairs that lie in different components are listed
-  and checked. So a large group of near copies costs about its size, and no link that could change a component is lost.
+* Candidate pairs share a prefix shingle and fit in size. They are not listed: nodes that share much of their prefixes are
+  put into blocks of bounded size, blocks that share a shingle are paired, and all members of two blocks are checked at
+  once by a product of incidence matrices. Each pair of blocks hands on a spanning forest of its links, so a large group of
+  near copies sends on about as many rows as it has members, and no link that could change a component is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, signed, slices, small_batches, stored, word_codes
+from .common import Rolling, forest, key_runs, signed, slices, small_batches, stored, word_codes
 from .components import connected_components
 
 #: One shingle in so many (a power of two) is counted over the corpus.
 COUNTED = 4
 #: Nodes to check whose first doc_ids may be sent to all executors; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Nodes in a block.
+BLOCK = 256
 NO_ID = -(1 << 63)
 
 
@@ -96,7 +99,8 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, n, token: the prefix shingles that other sets may share, of the sets that are not done yet; and whole."""
+    """node, n, alone, token: the prefix shingles that other sets may share, of the sets that are not done yet. alone: how
+    many of its counted shingles no other set has."""
     every = nodes.where("n > 0").select("node", F.explode("counted").alias("token"))
     seen = every.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("node"))
     alone = seen.where("times = 1").groupBy("node").agg(F.count("*").alias("alone"))
@@ -106,13 +110,13 @@ def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
         .join(alone, "node", "left")
         .withColumn("left", p - F.coalesce("alone", F.lit(0)))
         .where("left > 0")
-        .select("node", "n", "left", "counted", "more", (F.coalesce("alone", F.lit(0)) == 0).alias("whole"))
+        .select("node", "n", "left", "counted", "more", F.coalesce("alone", F.lit(0)).alias("alone"))
     )
     open_ = stored(open_, "open")
-    met = open_.select("node", "n", "left", "whole", F.explode("counted").alias("token")).join(seen.where("times > 1").select("token", "times"), "token")
+    met = open_.select("node", "n", "left", "alone", F.explode("counted").alias("token")).join(seen.where("times > 1").select("token", "times"), "token")
     rank = Window.partitionBy("node").orderBy("times", "token")
-    first = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= F.col("left")).select("node", "n", "whole", "token")
-    rest = open_.select("node", "n", "whole", F.explode("more").alias("token"))
+    first = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= F.col("left")).select("node", "n", "alone", "token")
+    rest = open_.select("node", "n", "alone", F.explode("more").alias("token"))
     return stored(first.union(rest), "prefix")
 
 
@@ -138,27 +142,58 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return sets.join(wanted.select("node", "one", "two"), ["one", "two"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over the shingles that more than one set has."""
+    sets = x + y
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(first) - 1
+    times = np.bincount(column)
+    often = times[column] > 1
+    owner, column = owner[often], (np.cumsum(times > 1) - 1)[column[often]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def verify_blocks(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) with 100 * intersection >= percent * union between the members of paired blocks, thinned to a spanning
+    forest of each pair of blocks.
+
+    pairs: x, y (blocks, may be equal); members: blk, node, shingles. A task holds two blocks at a time.
+    """
+    sides = pairs.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("blk"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.join(members, "blk").repartition(parts, "x", "y").sortWithinPartitions("x", "y", "blk")
 
     def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def _fit(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+        for rows in key_runs(batches, ["x", "y"]):
+            blk, node = np.asarray(rows.column("blk")), np.asarray(rows.column("node"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+            n = np.array([len(s) for s in sets])
+            same = bool(rows.column("x")[0].as_py() == rows.column("y")[0].as_py())
+            left = np.flatnonzero(blk == blk[0])
+            right = left if same else np.flatnonzero(blk != blk[0])
+            if not len(right) or same and len(left) < 2:
+                continue
+            common = _common([sets[i] for i in left], [sets[i] for i in right])
+            union = n[left][:, None] + n[right][None, :] - common
+            i, j = np.nonzero(100 * common >= percent * union)
+            if same:
+                i, j = i[i < j], j[i < j]
+            a, b = forest(left[i], right[j])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return dealt.select("x", "y", "blk", "node", "shingles").mapInArrow(check, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -182,39 +217,35 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     prefix = _prefixes(nodes, percent)
 
     # Groups: the same prefix and size. Only prefixes without a shingle of their own can be equal.
-    same = prefix.where("whole").groupBy("node", "n").agg(F.xxhash64(F.array_sort(F.collect_list("token"))).alias("prefix"))
+    same = prefix.where("alone = 0").groupBy("node", "n").agg(F.xxhash64(F.array_sort(F.collect_list("token"))).alias("prefix"))
     groups = same.groupBy("prefix", "n").agg(F.min("node").alias("grp"), F.count("*").alias("members")).where("members > 1")
     member = stored(same.join(groups, ["prefix", "n"]).select("node", "grp"), "groups")
-    grouped = prefix.join(member, "node", "left").select(F.coalesce("grp", "node").alias("grp"), "n", "token").distinct()
-
-    # First round: members against their group's first, groups against the one that shares most of their prefix.
-    heads = grouped.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct("n", "grp")).alias("head")).where("times > 1")
-    with_head = stored(grouped.join(heads.select("token", "head"), "token"), "heads")
-    votes = (
-        with_head.where((F.col("head.grp") != F.col("grp")) & _fit("n", "head.n", percent))
-        .groupBy(F.col("grp").alias("b"), F.col("head.grp").alias("a"))
-        .agg(F.count("*").alias("votes"))
-        .groupBy("b")
-        .agg(F.max(F.struct("votes", F.expr("-a").alias("m"))).alias("best"))
-    )
-    pairs = votes.select(F.expr("-best.m").alias("a"), "b").union(member.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b")))
-    touched = with_head.select(F.col("grp").alias("node")).union(member.select("node")).distinct()
-    sets = stored(_sets(docs, nodes.select("node", "doc", "one", "two").join(touched, "node", "left_semi"), k), "sets")
-    links = stored(verify_pairs(pairs, sets, percent), "links")
-    roots = connected_components(links)
-
-    # Second round: what shares a prefix shingle and still lies in different components.
-    expanded = with_head.select("token", "n", "grp").join(member, "grp", "left").select("token", "n", F.coalesce("node", "grp").alias("node"))
-    # Members of a group share their whole prefix: the group itself is a token for them.
-    expanded = expanded.union(member.join(nodes.select("node", "n"), "node").select("grp", "n", "node"))
-    placed = expanded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    placed = stored(placed.join(mixed, "token"), "mixed")
-    x = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = x.join(y, "token").where((F.col("ra") < F.col("rb")) & _fit("na", "nb", percent)).select("a", "b").distinct()
-    more = stored(verify_pairs(across, sets, percent), "links")
-    roots = connected_components(links.union(more)) if more.take(1) else roots
+    grouped = prefix.join(member, "node", "left").select(F.coalesce("grp", "node").alias("grp"), "n", "alone", "token").distinct()
+
+    # A node belongs with the head that it shares most of its prefix with: of all that have a shingle, the one with the
+    # fewest shingles of its own, which is what copies were made from. Buckets of heads are cut into blocks.
+    heads = grouped.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct("alone", "n", "grp")).alias("head")).where("times > 1")
+    met = stored(grouped.join(stored(heads.select("token", "head.grp").withColumnRenamed("grp", "head"), "heads"), "token"), "met")
+    bucket = met.groupBy("grp", "head").agg(F.count("*").alias("votes")).groupBy("grp").agg(F.max(F.struct("votes", (-F.col("head")).alias("h"))).alias("best"))
+    bucket = bucket.select("grp", (-F.col("best.h")).alias("bucket"))
+    grps = met.select("grp").union(member.select("grp")).distinct()
+    placed = grps.join(bucket, "grp", "left").join(member, "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"), F.coalesce("bucket", "grp").alias("bucket"))
+    size = placed.groupBy("bucket").agg(F.count("*").alias("n_bucket"))
+    blk = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_bucket") / BLOCK)))
+    placed = stored(placed.join(stored(size, "sizes"), "bucket").select("grp", "node", blk.alias("blk")), "placed")
+
+    # Blocks that share a prefix shingle, or members of a group, and fit in size.
+    per_token = met.select("token", "grp", "n").join(placed, "grp").groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    in_group = member.select("node").join(placed, "node").join(nodes.select("node", "n"), "node").groupBy(F.col("grp").alias("token"), "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    tokens = stored(per_token.union(in_group), "tokens")
+    x = tokens.select("token", F.col("blk").alias("x"), F.col("low").alias("lx"), F.col("high").alias("hx"))
+    y = tokens.select("token", F.col("blk").alias("y"), F.col("low").alias("ly"), F.col("high").alias("hy"))
+    pairs = x.join(y, "token").where((F.col("x") <= F.col("y")) & (F.col("hx") * 100 >= F.col("ly") * percent) & (F.col("hy") * 100 >= F.col("lx") * percent)).select("x", "y").distinct()
+    alone = placed.groupBy(F.col("blk").alias("x")).agg(F.count("*").alias("k")).where("k = 1").select("x", F.col("x").alias("y"))
+    pairs = stored(pairs.join(alone, ["x", "y"], "left_anti"), "pairs")
+    sets = _sets(docs, nodes.select("node", "doc", "one", "two").join(placed.select("node"), "node", "left_semi"), k)
+    members = stored(sets.join(placed.select("node", "blk"), "node"), "sets")
+    roots = connected_components(stored(verify_blocks(pairs, members, percent), "links"))
 
     named = nodes.select("node", "one", "two", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, signed, small_batches, stored
+from .common import forest, key_runs, mix, signed, small_batches, stored
 from .components import connected_components
 
 #: Vectors in a block; a task holds two blocks.
@@ -62,24 +62,6 @@ def units(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between local positions."""
-    parent: dict[int, int] = {}
-
-    def top(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        u, v = top(x), top(y)
-        if u != v:
-            parent[u] = v
-            out.append((x, y))
-    return out
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995, seed: int = 11, column: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -170,34 +152,15 @@ def _links(classes: DataFrame, width: int, hashes: int, tables: int, cosine: flo
             return
         links = np.bincount(i, copies[j], len(unit)) + np.bincount(j, copies[i], len(unit))
         has = np.flatnonzero(links)
-        edges = _forest(i, j)
+        a, b = forest(i, j)
         yield pa.array(node[has]), pa.array(links[has].astype(np.int64)), pa.nulls(len(has), pa.int64())
-        yield pa.array(node[[e[0] for e in edges]]), pa.nulls(len(edges), pa.int64()), pa.array(node[[e[1] for e in edges]])
+        yield pa.array(node[a]), pa.nulls(len(a), pa.int64()), pa.array(node[b])
 
     def blocks_of(batches):
-        held: list[pa.RecordBatch] = []
-
-        def close():
-            table = pa.Table.from_batches(held).combine_chunks()
-            rows = table.to_batches()[0]
-            first = {c: rows.column(c)[0].as_py() for c in ("tab", "x", "y")}
-            for part in compare(rows, **first):
+        for rows in key_runs(batches, group):
+            for part in compare(rows, *(rows.column(c)[0].as_py() for c in ("tab", "x", "y"))):
                 yield pa.RecordBatch.from_arrays(list(part), ["node", "links", "other"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([np.asarray(batch.column(c), np.int64) for c in group], 1)
-            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
-            for a, b in zip(edges, edges[1:]):
-                piece = batch.slice(a, b - a)
-                if held and any(held[0].column(c)[0].as_py() != piece.column(c)[0].as_py() for c in group):
-                    yield from close()
-                    held = []
-                held.append(piece)
-        if held:
-            yield from close()
-
     found = stored(dealt.mapInArrow(blocks_of, "node long, links long, other long"), "found")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
