@@ -70,4 +70,43 @@ select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id <> last then last end refers_to
 from p left join m on d = payload_digest"""
 
-ORACLES = {"op9_warc": OP9}
+_REACH = """
+  reach as (select id, id other from node union select reach.id, l.b from reach join link l on l.a = reach.other),
+  comp as (select id, min(other) component_id from reach group by 1)
+"""
+
+OP5 = f"""
+with recursive v as (
+    select vec_id, embedding::double[] e from embeddings
+    where len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+  ),
+  node as (select vec_id id from embeddings),
+  link as (select x.vec_id a, y.vec_id b from v x join v y on x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.95),
+  {_REACH}
+select id vec_id, (select count(*) from link where a = id) n_links, component_id, id = component_id kept from comp"""
+
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+OP7 = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') w from documents),
+  win as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) h from d, unnest(range(1, len(w) - 33)) t(i)),
+  rep as (select doc_id, i from win where h in (select h from win group by 1 having count(*) > 1)),
+  gone as (select distinct doc_id, i + j p from rep, range(35) r(j)),
+  word as (select doc_id, p, w[p] x from d, unnest(range(1, len(w) + 1)) t(p)),
+  kept as (select doc_id, count(*) n, string_agg(x, ' ' order by p) line from word anti join gone using (doc_id, p) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(line, '')) kept_sha256
+from d left join kept using (doc_id)"""
+
+OP10 = f"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') w from documents
+  ),
+  sh as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') s from d, unnest(range(1, greatest(len(w) - 2, 2))) t(i) where len(w) > 0),
+  size as (select doc_id, count(*) n from sh group by 1),
+  met as (select x.doc_id a, y.doc_id b, count(*) c from sh x join sh y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+  link as (select a, b from met join size p on p.doc_id = a join size q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+  node as (select doc_id id from d),
+  {_REACH}
+select id doc_id, coalesce(n, 0) n_shingles, component_id from comp left join size on size.doc_id = id"""
+
+ORACLES = {"op5_near_vectors": OP5, "op7_substring": OP7, "op9_warc": OP9, "op10_jaccard": OP10}
