@@ -30,7 +30,7 @@ def _load() -> None:
         import_module(f"cladewise.plans.{name}")
 
 
-MODULES = ["likelihoods", "trees", "splits", "states", "texts"]
+MODULES = ["likelihoods", "trees", "splits", "states", "texts", "growth"]
 
 
 def queries() -> dict[str, Query]:
