@@ -227,10 +227,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     heads = grouped.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct("alone", "n", "grp")).alias("head")).where("times > 1")
     met = stored(grouped.join(stored(heads.select("token", "head.grp").withColumnRenamed("grp", "head"), "heads"), "token"), "met")
     bucket = met.groupBy("grp", "head").agg(F.count("*").alias("votes")).groupBy("grp").agg(F.max(F.struct("votes", (-F.col("head")).alias("h"))).alias("best"))
-    bucket = bucket.select("grp", (-F.col("best.h")).alias("bucket"))
+    bucket = stored(bucket.select("grp", (-F.col("best.h")).alias("bucket")), "bucket")
+    for _ in range(2):  # a head may itself belong with another: chains of copies come together
+        onward = bucket.select(F.col("grp").alias("bucket"), F.col("bucket").alias("next"))
+        bucket = stored(bucket.join(onward, "bucket", "left").select("grp", F.coalesce("next", "bucket").alias("bucket")), "bucket")
     grps = met.select("grp").union(member.select("grp")).distinct()
     placed = grps.join(bucket, "grp", "left").join(member, "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"), F.coalesce("bucket", "grp").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.count("*").alias("n_bucket"))
+    # A bucket joins the largest one that has any of its shingles: it would be paired with all of that one's blocks anyway.
+    placed, size = stored(placed, "placed"), stored(size, "sizes")
+    has = met.select("token", "grp").join(placed, "grp").select("token", "bucket").distinct().join(size, "bucket")
+    largest = stored(has.groupBy("token").agg(F.max(F.struct("n_bucket", "bucket")).alias("top")), "largest")
+    joins = has.join(largest, "token").groupBy("bucket").agg(F.max("top").alias("top")).select("bucket", F.col("top.bucket").alias("into"))
+    placed = placed.join(stored(joins, "joins"), "bucket", "left").select("grp", "node", F.coalesce("into", "bucket").alias("bucket"))
+    size = placed.groupBy("bucket").agg(F.count("*").alias("n_bucket"))
     blk = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_bucket") / BLOCK)))
     placed = stored(placed.join(stored(size, "sizes"), "bucket").select("grp", "node", blk.alias("blk")), "placed")
 
