@@ -234,11 +234,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     grps = met.select("grp").union(member.select("grp")).distinct()
     placed = grps.join(bucket, "grp", "left").join(member, "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"), F.coalesce("bucket", "grp").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.count("*").alias("n_bucket"))
-    # A bucket joins the largest one that has any of its shingles: it would be paired with all of that one's blocks anyway.
+    # A bucket joins the largest one that has any of its shingles, if that fills several blocks: it would be paired with
+    # all of them anyway.
     placed, size = stored(placed, "placed"), stored(size, "sizes")
     has = met.select("token", "grp").join(placed, "grp").select("token", "bucket").distinct().join(size, "bucket")
     largest = stored(has.groupBy("token").agg(F.max(F.struct("n_bucket", "bucket")).alias("top")), "largest")
-    joins = has.join(largest, "token").groupBy("bucket").agg(F.max("top").alias("top")).select("bucket", F.col("top.bucket").alias("into"))
+    joins = has.join(largest.where(F.col("top.n_bucket") > BLOCK), "token").groupBy("bucket").agg(F.max("top").alias("top")).select("bucket", F.col("top.bucket").alias("into"))
     placed = placed.join(stored(joins, "joins"), "bucket", "left").select("grp", "node", F.coalesce("into", "bucket").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.count("*").alias("n_bucket"))
     blk = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n_bucket") / BLOCK)))
