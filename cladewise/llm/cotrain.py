@@ -126,25 +126,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return w
 
 
-def select_features(docs: list[set[str]], labels: np.ndarray, most: int) -> list[str]:
-    """Features met in three documents or more that tell the classes apart best (signed chi-square, both targets)."""
-    seen: dict[str, list[int]] = {}
-    for i, features in enumerate(docs):
-        for f in features:
-            seen.setdefault(f, []).append(i)
-    names = [f for f, at in seen.items() if len(at) >= 3]
-    best = np.zeros(len(names))
-    for t in range(labels.shape[1]):
-        y = labels[:, t]
-        share, n = y.mean(), len(y)
-        counts = np.array([len(seen[f]) for f in names], float)
-        hits = np.array([y[seen[f]].sum() for f in names], float)
-        spread = counts * share * (1 - share) * (1 - counts / n) + 1e-9
-        best = np.maximum(best, (hits - counts * share) ** 2 / spread)
-    order = sorted(range(len(names)), key=lambda i: (-best[i], names[i]))
-    return [names[i] for i in order[:most]]
-
-
 class Model:
     """Both views for both targets, their calibration and the combination. Plain arrays, small enough to send along."""
 
@@ -174,26 +155,25 @@ class Model:
 
 
 class Fitter:
-    """Holds the bounded labelled sample and the pseudo-labels, and fits a Model to them."""
+    """Holds the bounded labelled sample and the pseudo-labels, and fits a Model to them. Texts are lists of the places of
+    their features among the selected ones."""
 
-    def __init__(self, features: list[set[str]], meta: np.ndarray, labels: np.ndarray, held: np.ndarray):
-        self.features, self.meta, self.labels, self.held = features, meta, labels.astype(np.float32), held
-        self.names = select_features([f for f, h in zip(features, held) if not h], self.labels[~held], FEATURES)
-        self.index = {f: i for i, f in enumerate(self.names)}
-        self.x = self._matrix(features)
+    def __init__(self, names: list[str], texts: list[np.ndarray], meta: np.ndarray, labels: np.ndarray, held: np.ndarray):
+        self.names, self.meta, self.labels, self.held = names, meta, labels.astype(np.float32), held
+        self.x = self._matrix(texts)
         scale = meta.std(0) if len(meta) else np.ones(meta.shape[1])
-        self.model = Model(self.names, meta.mean(0), np.where(scale > 1e-6, scale, 1))
+        self.model = Model(names, meta.mean(0), np.where(scale > 1e-6, scale, 1))
         #: (target, view) -> rows that the other view is sure of: text matrix or metadata, and labels.
         self.extra: dict[tuple[int, int], list] = {}
 
-    def _matrix(self, features: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(features), len(self.names)), np.float32)
-        for i, fs in enumerate(features):
-            x[i, [self.index[f] for f in fs if f in self.index]] = 1
+    def _matrix(self, texts: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.names)), np.float32)
+        for i, at in enumerate(texts):
+            x[i, at] = 1
         return x
 
-    def add(self, target: int, view: int, features: list[set[str]], meta: np.ndarray, label: np.ndarray) -> None:
-        rows = self._matrix(features) if view == 0 else (meta - self.model.mean) / self.model.scale
+    def add(self, target: int, view: int, texts: list[np.ndarray], meta: np.ndarray, label: np.ndarray) -> None:
+        rows = self._matrix(texts) if view == 0 else (meta - self.model.mean) / self.model.scale
         self.extra.setdefault((target, view), []).append((rows, label))
 
     def fit(self) -> Model:
@@ -230,8 +210,9 @@ def _rows(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(col("doc_id", "long"), col("text", "string"), col("lang", "string"), col("source", "string"), col("n_chars", "long"), *more)
 
 
-def _collect(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> tuple[list[set[str]], np.ndarray, list]:
-    """Features and metadata of a bounded set of documents, on the driver; wanted has doc_id and `columns`."""
+def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """features, meta and the columns of `wanted`, a bounded set of doc_ids."""
+    columns = [c for c in wanted.columns if c != "doc_id"]
 
     def scan(batches):
         for batch in batches:
@@ -239,16 +220,37 @@ def _collect(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> tuple[li
                 meta = metadata(batch, lo, hi)
                 own = [sorted({f for w in set((t or "").split()) for f in word_features(w)}) for t in batch.column("text")[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.list_(pa.string())), pa.array(list(meta), pa.list_(pa.float32())), *[batch.column(c)[lo:hi] for c in columns]], ["features", "meta", *columns]
+                    [batch.column("doc_id")[lo:hi], pa.array(own, pa.list_(pa.string())), pa.array(list(meta), pa.list_(pa.float32())), *[batch.column(c)[lo:hi] for c in columns]], ["doc_id", "features", "meta", *columns]
                 )
 
     kinds = dict(wanted.dtypes)
-    schema = ", ".join(["features array<string>", "meta array<float>", *[f"{c} {kinds[c]}" for c in columns]])
-    rows = _rows(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(scan, schema).collect()
+    schema = ", ".join(["doc_id long", "features array<string>", "meta array<float>", *[f"{c} {kinds[c]}" for c in columns]])
+    rows = _rows(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    return stored(rows.mapInArrow(scan, schema), "features")
+
+
+def select_features(sample: DataFrame, labels: np.ndarray, most: int = FEATURES) -> list[str]:
+    """Features met in three documents or more that tell the classes of either target apart best, by chi-square."""
+    n, shares = len(labels), labels.mean(0).tolist()
+    by = sample.select(F.explode("features").alias("feature"), *TARGETS).groupBy("feature").agg(F.count("*").alias("c"), *[F.sum(t).alias(t) for t in TARGETS])
+    scores = [(F.col(t) - F.col("c") * p) ** 2 / (F.col("c") * p * (1 - p) * (1 - F.col("c") / n) + 1e-9) for t, p in zip(TARGETS, shares)]
+    top = by.where("c >= 3").select("feature", F.round(F.greatest(*scores), 6).alias("score")).orderBy(F.desc("score"), "feature").limit(most)
+    return [r["feature"] for r in top.collect()]
+
+
+def _collect(rows: DataFrame, names: list[str], columns: list[str]) -> tuple[list[np.ndarray], np.ndarray, list]:
+    """Bounded rows of _features() on the driver: the places of their selected features, metadata, other columns."""
+    index = {f: i for i, f in enumerate(names)}
+
+    def pack(batches):
+        for batch in batches:
+            at = [np.array([index[f] for f in own if f in index], "<u2").tobytes() for own in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), *[batch.column(c) for c in ("meta", *columns)]], ["at", "meta", *columns])
+
+    kinds = dict(rows.dtypes)
+    got = rows.mapInArrow(pack, ", ".join(["at binary", "meta array<float>", *[f"{c} {kinds[c]}" for c in columns]])).collect()
     width = 11 + LANG_SLOTS + SOURCE_SLOTS
-    known: dict[str, str] = {}
-    features = [{known.setdefault(f, f) for f in r["features"]} for r in rows]
-    return features, np.array([r["meta"] for r in rows], np.float32).reshape(len(rows), width), [tuple(r[c] for c in columns) for r in rows]
+    return [np.frombuffer(bytes(r["at"]), "<u2") for r in got], np.array([r["meta"] for r in got], np.float32).reshape(len(got), width), [tuple(r[c] for c in columns) for r in got]
 
 
 def _scorer(model: Model):
@@ -276,17 +278,21 @@ def _all_views(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Co-train on labels (doc_id, quality, toxic). None if a target has fewer than ten rows of a class."""
+    """Co-train on labels (doc_id, quality, toxic). None if a target has fewer than ten rows of a class in the
+    sample, or fewer than ten rows are held out."""
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     sample = stored(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample")
-    features, meta, known = _collect(docs, sample, ["doc_id", "quality", "toxic"])
-    y = np.array([k[1:] for k in known], np.int8).reshape(len(known), 2)
-    if min([0, 0] if not len(y) else np.minimum(y.sum(0), len(y) - y.sum(0))) < 10:
+    rows = _features(docs, sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0))
+    known = np.array([tuple(r) for r in rows.select(*TARGETS, "held").collect()], np.int8).reshape(-1, 3)
+    fits = known[known[:, 2] == 0][:, :2]
+    if not len(fits) or np.minimum(fits.sum(0, dtype=int), len(fits) - fits.sum(0, dtype=int)).min() < 10 or known[:, 2].sum() < 10:
         return None
-    held = np.array([xxhash.xxh3_64_intdigest(str(k[0])) % 4 == 0 for k in known])
-    fitter = Fitter(features, meta, y, held)
+    names = select_features(rows.where("not held"), fits)
+    texts, meta, known = _collect(rows, names, [*TARGETS, "held"])
+    known = np.array(known, np.int8)
+    fitter = Fitter(names, texts, meta, known[:, :2], known[:, 2].astype(bool))
     model = fitter.fit()
     for _ in range(rounds):
         scored = stored(_all_views(docs, model).where("doc_id is not null").join(usable.select("doc_id"), "doc_id", "left_anti"), "views")
@@ -301,13 +307,13 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | N
         for x in picks[1:]:
             chosen = chosen.union(x)
         chosen = stored(chosen.groupBy("doc_id").agg(F.collect_set(F.struct("target", "view", "label")).alias("uses")), "chosen")
-        features, meta, uses = _collect(docs, chosen, ["uses"])
+        texts, meta, uses = _collect(_features(docs, chosen), names, ["uses"])
         for t in range(len(TARGETS)):
             for view in (0, 1):
                 at = [(i, u["label"]) for i, (us,) in enumerate(uses) for u in us if (u["target"], u["view"]) == (t, view)]
                 if at:
                     i = [a for a, _ in at]
-                    fitter.add(t, view, [features[j] for j in i], meta[i], np.array([b for _, b in at]))
+                    fitter.add(t, view, [texts[j] for j in i], meta[i], np.array([b for _, b in at]))
         model = fitter.fit()
     return model
 
