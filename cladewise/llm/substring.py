@@ -96,7 +96,8 @@ def repeated_windows(docs: DataFrame, length: int = 35, gram: int = 12) -> DataF
         .where("times > 1")
         .select("seed", (F.col("low") != F.col("high")).alias("several"))
     )
-    met = stored(occurrences.join(repeated, "seed"), "seeds")
+    # Written first: a join that follows straight on the grouping could not split a frequent seed.
+    met = stored(occurrences.join(stored(repeated, "repeated"), "seed"), "seeds")
     classes = stored(met.where("several").groupBy("seed", "context").agg(F.count("*").alias("times"), F.min("doc").alias("doc")), "classes")
 
     # One member of each class is extended; its document is read again and told which contexts to extend.
