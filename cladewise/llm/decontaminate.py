@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps its template. Windows of
 template tokens are hashed and joined between documents and benchmark items. Matches on one diagonal (document place minus
-item place) must then be consistent in their slots: each value of the item stands for one value in the document and the
-reverse, which is so for verbatim copies and for re-parameterised questions, and seldom for chance.
+item place) are then judged slot by slot: a window counts if its slots are equal, or if none goes against the value that most
+places of the diagonal give. Different values may meet in one, as they do in re-parameterised questions.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -130,10 +131,51 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return stored(rows.mapInArrow(scan, f"item_id long, size int, windows int, {_WINDOW_SCHEMA}"), "items")
 
 
+def _judge(long_run: int):
+    """Of each diagonal: places of the windows that count, whether they make a long run, whether all slots kept their values.
+
+    The slots of a diagonal give each value of the item the value that most of its places have in the document. A window
+    counts unless a slot of it has a value met less often than that one; windows with equal slots always count.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            found, size = batch.column("found"), np.asarray(batch.column("size"), np.int64)
+            windows, many = found.flatten(), np.diff(np.asarray(found.offsets, np.int64))
+            diagonal = np.repeat(np.arange(batch.num_rows), many)
+            place = np.asarray(windows.field("place"), np.int64)
+            own, doc = (np.asarray(windows.field(c).flatten(), np.int64) for c in ("own", "slots"))
+            window = np.repeat(np.arange(len(place)), size[diagonal])
+            position = np.arange(len(own)) - (np.cumsum(size[diagonal]) - size[diagonal])[window] + place[window]
+            slots = pd.DataFrame({"diagonal": diagonal[window], "window": window, "position": position, "own": own, "doc": doc})[own != 0]
+            votes = slots.drop_duplicates(["diagonal", "position", "own", "doc"]).groupby(["diagonal", "own", "doc"], as_index=False).size()
+            votes["less"] = votes["size"] < votes.groupby(["diagonal", "own"])["size"].transform("max")
+            slots = slots.merge(votes, on=["diagonal", "own", "doc"])
+            against, changed = np.zeros(len(place), bool), np.zeros(len(place), bool)
+            against[slots["window"][slots["less"]]] = True
+            changed[slots["window"][slots["own"] != slots["doc"]]] = True
+            verbatim = np.ones(batch.num_rows, bool)
+            verbatim[diagonal[changed]] = False
+            counted = pd.DataFrame({"diagonal": diagonal, "place": place})[~(against & changed)].drop_duplicates().sort_values(["diagonal", "place"])
+            d, at = counted["diagonal"].to_numpy(), counted["place"].to_numpy()
+            breaks = np.ones(len(d), bool)
+            breaks[1:] = (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)
+            length, first = np.bincount(np.cumsum(breaks) - 1), d[breaks]
+            run = np.zeros(batch.num_rows, bool)
+            run[first[length >= np.maximum(long_run - size[first] + 1, 1)]] = True
+            ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=batch.num_rows))])
+            places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at.astype(np.int32)))
+            names = ["doc_id", "text_hash", "item_id", "windows"]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], places, pa.array(run), pa.array(verbatim)], [*names, "places", "run", "verbatim"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return judge
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, long_run: int = 20, window: int = WINDOW) -> DataFrame:
     """One row per document and item that it leaks: doc_id, text_hash, item_id, coverage, n_windows, verbatim.
 
-    An item leaks if consistent diagonals match at least `least` of its windows, or windows over `long_run` of its tokens
+    An item leaks if windows that count match at least `least` of its windows, or windows over `long_run` of its tokens
     in a row. verbatim tells that all slots kept their values. Null and empty texts leak nothing and items without a
     window are never leaked; null ids are ordinary values; repeated rows give one result per doc_id and text; other
     columns are ignored.
@@ -164,15 +206,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, long_run: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.mapInArrow(scan, f"doc_id long, text_hash long, size int, {_WINDOW_SCHEMA}")
     met = found.join(items.select("size", "hash", "item_id", "windows", F.col("at").alias("place"), F.col("slots").alias("own")), ["size", "hash"])
-    pairs = F.filter(F.arrays_zip(F.col("own").alias("own"), F.col("slots").alias("doc")), lambda s: s["own"] != 0)
     diagonal = ["doc_id", "text_hash", "item_id", "delta"]
-    met = met.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("place")).alias("delta"), "windows", "place", "size", pairs.alias("pairs"))
-    by = met.groupBy(*diagonal).agg(F.first("windows").alias("windows"), F.first("size").alias("size"), F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct("pairs.own")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.doc")) == F.size("pairs"))
-    by = by.where(one_to_one).withColumn("verbatim", F.forall("pairs", lambda p: p["own"] == p["doc"]))
-    need = F.lit(long_run) - F.col("size") + 1
-    run = F.exists("places", lambda p: F.forall(F.sequence(F.lit(0), F.greatest(need - 1, F.lit(0))), lambda i: F.array_contains(F.col("places"), (p + i).cast("int"))))
-    by = by.withColumn("run", run)
+    met = met.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("place")).alias("delta"), "windows", "size", F.struct("place", "own", "slots").alias("window"))
+    by = met.groupBy(*diagonal).agg(F.first("windows").alias("windows"), F.first("size").alias("size"), F.collect_set("window").alias("found"))
+    by = by.mapInArrow(_judge(long_run), "doc_id long, text_hash long, item_id long, windows int, places array<int>, run boolean, verbatim boolean")
     per_item = by.groupBy("doc_id", "text_hash", "item_id").agg(
         F.first("windows").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.bool_or("run").alias("run"), F.bool_and("verbatim").alias("verbatim")
     )
