@@ -24,3 +24,30 @@ def test_clashing_slots(spark):
     assert [got[(i, i)]["coverage"] for i in range(3)] == [1.0, 1.0, 1.0] and not any(r["verbatim"] for r in got.values())
     # only the windows with the third value go
     assert 0.5 <= got[(3, 3)]["coverage"] < 1
+
+
+def test_items_of_slots(spark):
+    """Items dense in slots leak when copied, whatever stands around them; names may open sentences."""
+    sums, names = "Compute 3 + 4 * 5 - 6", "Anna Bruno Carla Dieter Emil Frida Gustav Hanna Igor Jana Karl Lena"
+    table = "12 kg 14 kg 16 kg 18 kg 20 kg 22 kg 24 kg 26 kg of flour"
+    opener = "Alice buys some bread for the whole class. Alice then walks slowly to the old stone bridge"
+    docs = [
+        f"some text before and {sums} and after", f"people: {names.upper()} were there", f"weights are {table.lower()} in all", opener.replace("Alice", "Robert"), f"she said {opener.lower()} and left",
+        "Compute 3 + 4 * 5 - 7", "Anna met Bruno and Dieter",
+    ]
+    got = found(spark, docs, [sums, names, table, opener])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+    assert all(got[k]["coverage"] == 1 and got[k]["verbatim"] == (k != (3, 3)) for k in got)
+
+
+def test_other_languages(spark):
+    """Units, number words and names of other languages are slots as well."""
+    pairs = [
+        ("der alte Zug fährt sieben Stunden bis zum Dorf und kommt dann nach zwanzig Minuten wieder an", "der alte Zug fährt fünf Tage bis zum Dorf und kommt dann nach dreißig Sekunden wieder an"),
+        ("le vieux train roule pendant sept heures vers la mer et revient après vingt-deux minutes sans arrêt", "le vieux train roule pendant trois jours vers la mer et revient après trente secondes sans arrêt"),
+        ("el viejo tren viaja durante siete horas hacia el mar y vuelve después de veinte minutos sin parar", "el viejo tren viaja durante cinco días hacia el mar y vuelve después de treinta segundos sin parar"),
+        ("in the old town Jean-Pierre walks up to the bridge and then Mary-Ann walks back to the square", "in the old town McDonald walks up to the bridge and then NASA walks back to the square"),
+    ]
+    got = found(spark, [b for _, b in pairs], [a for a, _ in pairs])
+    assert set(got) == {(i, i) for i in range(4)}
+    assert all(r["coverage"] == 1 and not r["verbatim"] for r in got.values())
