@@ -7,7 +7,8 @@ view's scores are calibrated on labelled documents held out of the fits, and a l
 every document.
 
 Bounds, all parameters of the fit: labelled rows (SAMPLE), pseudo-labels for each class, view and round (PSEUDO), features
-(FEATURES). Scoring covers all rows.
+(FEATURES). Labelled rows are drawn by class, rare classes first, and weigh as much as the rows they stand for; pseudo-labels are
+drawn from distinct texts. Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import slices, small_batches, split_words, stored
 SAMPLE, PSEUDO, ROUNDS, FEATURES = 6_000, 150, 2, 1_500
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
 TARGETS = ("quality", "toxic")
+#: Logits of a target that cannot be fitted: one half for quality, zero for toxic.
+UNFITTED = (0.0, -30.0)
 _EDGES = string.punctuation + "«»“”„…"
 
 
@@ -158,11 +161,14 @@ class Fitter:
     """Holds the bounded labelled sample and the pseudo-labels, and fits a Model to them. Texts are lists of the places of
     their features among the selected ones."""
 
-    def __init__(self, names: list[str], texts: list[np.ndarray], meta: np.ndarray, labels: np.ndarray, held: np.ndarray):
+    def __init__(self, names: list[str], texts: list[np.ndarray], meta: np.ndarray, labels: np.ndarray, held: np.ndarray, weight: np.ndarray, fitted: list[int]):
         self.names, self.meta, self.labels, self.held = names, meta, labels.astype(np.float32), held
+        self.weight, self.fitted = weight.astype(np.float32), fitted
         self.x = self._matrix(texts)
         scale = meta.std(0) if len(meta) else np.ones(meta.shape[1])
         self.model = Model(names, meta.mean(0), np.where(scale > 1e-6, scale, 1))
+        for t in {*range(len(TARGETS))} - {*fitted}:
+            self.model.combined[t] = (0, 0, UNFITTED[t])
         #: (target, view) -> rows that the other view is sure of: text matrix or metadata, and labels.
         self.extra: dict[tuple[int, int], list] = {}
 
@@ -179,9 +185,9 @@ class Fitter:
     def fit(self) -> Model:
         m, use = self.model, ~self.held
         views = [self.x, ((self.meta - m.mean) / m.scale).astype(np.float32)]
-        for t in range(len(TARGETS)):
+        for t in self.fitted:
             for view, out, penalty in ((0, m.text, 2e-3), (1, m.meta, 1e-3)):
-                x, y, w = [views[view][use]], [self.labels[use, t]], [np.ones(use.sum(), np.float32)]
+                x, y, w = [views[view][use]], [self.labels[use, t]], [self.weight[use]]
                 for rows, label in self.extra.get((t, view), []):
                     x.append(rows.astype(np.float32))
                     y.append(label.astype(np.float32))
@@ -190,14 +196,17 @@ class Fitter:
         rows, features = np.nonzero(self.x)
         raw = m.views(rows, features, self.meta)
         held = self.held
-        ones = np.ones(held.sum(), np.float32)
-        for t in range(len(TARGETS)):
+        weight = self.weight[held]
+        for t in self.fitted:
             y = self.labels[held, t]
+            if y.min() == y.max():  # nothing to calibrate with
+                m.combined[t] = (0.5, 0.5, 0)
+                continue
             for view in (0, 1):
                 z = raw[held, t, view]
-                m.calibration[t, view] = fit_logistic(z[:, None] / 4, y, ones, 1e-3) / np.array([4.0, 1.0])
+                m.calibration[t, view] = fit_logistic(z[:, None] / 4, y, weight, 1e-3) / np.array([4.0, 1.0])
             z = m.calibrated(raw)[held, t]
-            m.combined[t] = fit_logistic(z / 4, y, ones, 1e-3) / np.array([4.0, 4.0, 1.0])
+            m.combined[t] = fit_logistic(z / 4, y, weight, 1e-3) / np.array([4.0, 4.0, 1.0])
         return m
 
 
@@ -263,7 +272,7 @@ def _scorer(model: Model):
 
 
 def _all_views(docs: DataFrame, model: Model) -> DataFrame:
-    """Calibrated logits of every document: doc_id, z_<target>_<view>."""
+    """Calibrated logits of every document: doc_id, text_hash, z_<target>_<view>."""
     names = [f"z_{t}_{v}" for t in TARGETS for v in ("text", "meta")]
     views = _scorer(model)
 
@@ -272,41 +281,67 @@ def _all_views(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo, hi, z in views(batch, vocabulary):
                 z = model.calibrated(z).reshape(hi - lo, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *[pa.array(z[:, i]) for i in range(z.shape[1])]], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], *[pa.array(z[:, i]) for i in range(z.shape[1])]], ["doc_id", "text_hash", *names])
+
+    return _rows(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, text_hash long, " + ", ".join(f"{n} double" for n in names))
+
+
+def quotas(counts: dict, most: int) -> dict:
+    """Rows to draw of each class: an eighth of `most` if it has them, and the rest in proportion."""
+    least = {k: min(n, most // 8) for k, n in counts.items()}
+    rest, left = most - sum(least.values()), sum(counts.values()) - sum(least.values())
+    return {k: n if left <= rest else least[k] + (n - least[k]) * rest // left for k, n in counts.items()}
+
+
+def draw_sample(usable: DataFrame) -> DataFrame:
+    """At most SAMPLE labelled rows, by class (quality x toxic), and how many rows each stands for, with mean 1: weight."""
+    counts = {(r["quality"], r["toxic"]): r["count"] for r in usable.groupBy(*TARGETS).count().collect()}  # at most four
+    take = quotas(counts, SAMPLE)
+    mean = sum(counts.values()) / max(sum(take.values()), 1)
+    out = usable.limit(0).withColumn("weight", F.lit(1.0))
+    for (quality, toxic), n in sorted(counts.items()):
+        rows = usable.where((F.col("quality") == quality) & (F.col("toxic") == toxic))
+        out = out.union(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(take[quality, toxic]).withColumn("weight", F.lit(n / max(take[quality, toxic], 1) / mean)))
+    return out
+
 
-    return _rows(docs).mapInArrow(scan, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+def pseudo_labels(scored: DataFrame) -> DataFrame:
+    """doc_id, target, view, label: what each view is surest about, for the other view. A text counts once, by its surest row."""
+    kinds = [(t, v, label, F.col(f"z_{target}_{name}")) for t, target in enumerate(TARGETS) for v, name in enumerate(("text", "meta")) for label in (1, 0)]
+    # The larger logit first, or the smaller one; then the smaller doc_id.
+    surest = [F.min(F.struct((-z if label else z).alias("z"), "doc_id")).alias(f"k{i}") for i, (_, _, label, z) in enumerate(kinds)]
+    texts = stored(scored.groupBy("text_hash").agg(*surest), "surest")
+    picks = None
+    for i, (t, view, label, _) in enumerate(kinds):
+        best = texts.where(F.col(f"k{i}.z") < -math.log(9)).orderBy(f"k{i}.z", f"k{i}.doc_id").limit(PSEUDO)
+        best = best.select(F.col(f"k{i}.doc_id").alias("doc_id"), F.lit(t).alias("target"), F.lit(1 - view).alias("view"), F.lit(label).alias("label"))
+        picks = best if picks is None else picks.union(best)
+    return picks
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Co-train on labels (doc_id, quality, toxic). None if a target has fewer than ten rows of a class in the
-    sample, or fewer than ten rows are held out."""
+    """Co-train on labels (doc_id, quality, toxic). A target with fewer than ten rows of a class in the
+    fitted part of the sample gets a constant score. None if that holds for both, or fewer than ten rows are held out."""
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    sample = stored(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample")
+    usable = stored(usable, "labels")
+    sample = stored(draw_sample(usable), "sample")
     rows = _features(docs, sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0))
     known = np.array([tuple(r) for r in rows.select(*TARGETS, "held").collect()], np.int8).reshape(-1, 3)
     fits = known[known[:, 2] == 0][:, :2]
-    if not len(fits) or np.minimum(fits.sum(0, dtype=int), len(fits) - fits.sum(0, dtype=int)).min() < 10 or known[:, 2].sum() < 10:
+    ones = fits.sum(0, dtype=int)
+    fitted = [t for t in range(len(TARGETS)) if min(ones[t], len(fits) - ones[t]) >= 10]
+    if not fitted or known[:, 2].sum() < 10:
         return None
     names = select_features(rows.where("not held"), fits)
-    texts, meta, known = _collect(rows, names, [*TARGETS, "held"])
-    known = np.array(known, np.int8)
-    fitter = Fitter(names, texts, meta, known[:, :2], known[:, 2].astype(bool))
+    texts, meta, known = _collect(rows, names, [*TARGETS, "held", "weight"])
+    known = np.array(known, np.float64)
+    fitter = Fitter(names, texts, meta, known[:, :2], known[:, 2].astype(bool), known[:, 3], fitted)
     model = fitter.fit()
     for _ in range(rounds):
-        scored = stored(_all_views(docs, model).where("doc_id is not null").join(usable.select("doc_id"), "doc_id", "left_anti"), "views")
-        picks = []
-        for t, target in enumerate(TARGETS):
-            for view, name in enumerate(("text", "meta")):
-                z = F.col(f"z_{target}_{name}")
-                for label, order in ((1, z.desc()), (0, z.asc())):
-                    sure = z > math.log(9) if label else z < -math.log(9)
-                    picks.append(scored.where(sure).orderBy(order, "doc_id").limit(PSEUDO).select("doc_id", F.lit(t).alias("target"), F.lit(1 - view).alias("view"), F.lit(label).alias("label")))
-        chosen = picks[0]
-        for x in picks[1:]:
-            chosen = chosen.union(x)
-        chosen = stored(chosen.groupBy("doc_id").agg(F.collect_set(F.struct("target", "view", "label")).alias("uses")), "chosen")
+        scored = (_all_views(docs, model).where("doc_id is not null").join(usable.select("doc_id"), "doc_id", "left_anti"))
+        chosen = stored(pseudo_labels(scored).groupBy("doc_id").agg(F.collect_set(F.struct("target", "view", "label")).alias("uses")), "chosen")
         texts, meta, uses = _collect(_features(docs, chosen), names, ["uses"])
         for t in range(len(TARGETS)):
             for view in (0, 1):
