@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,13 +20,15 @@ BATCH_ROWS = "500"
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Spark's switch for removing an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share when the session is built")
     return base.rstrip("/")
 
 
@@ -36,10 +37,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go at once; nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -59,6 +68,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """df (stored) for a join: sent to all executors if it has at most so many rows, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def row_hash(docs: DataFrame):
+    """A hash of all columns that can be hashed: what tells rows apart where doc_ids are missing or repeat."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+
+
 def bytes_of(col: str):
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 

@@ -328,6 +328,53 @@ def test_jaccard(spark, odd):
     assert jaccard.jaccard_classes(odd.limit(0)).count() == 0
 
 
+def test_jaccard_large_group(spark, monkeypatch):
+    """Many near copies of one text, in blocks of a few members, with and without the text that they were made from."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    for with_base in (True, False):
+        rows = []
+        for f in range(2):
+            base = prose(80, 300 + f).split()
+            for c in range(70):
+                w = list(base)
+                for at in rng.integers(0, len(w), int(rng.integers(0 if with_base else 1, 7))):
+                    w[at] = f"new{rng.integers(0, 10**6)}"
+                rows.append((len(rows), " ".join(w)))
+        rows += [(200 + i, " ".join(prose(60, 300).split() + [f"own{i}a{j}" for j in range(20)])) for i in range(40)]
+        got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(got)), key=str) == brute_classes(rows, 4, 85)
+
+
+def kept_by_brute_force(rows, k, percent):
+    """Which rows keep_one() keeps of (doc_id, text, ...), up to the choice among rows that share the smallest doc_id of a class."""
+    numbered = [(i, r[1]) for i, r in enumerate(rows)]
+    groups = defaultdict(list)
+    for i, n, least in brute_classes(numbered, k, percent):
+        groups[least if n else ("empty", i)].append(i)
+    return sorted((min((rows[i][0] is None, rows[i][0] or 0) for i in g), sorted({rows[i][1] or "" for i in g})) for g in groups.values())
+
+
+def test_keep_one_with_repeated_ids(spark, odd):
+    a, b = prose(60, 31), prose(60, 32)
+    near = b.replace(b.split()[5], "changed", 1)
+    rows = [(1, a), (6, a), (6, b), (7, prose(60, 33)), (7, near), (None, a), (None, b), (None, prose(50, 34)), (None, prose(50, 34)), (9, None), (9, None), (9, ""), (7, near), (6, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_keep", F.lit(1)).withColumn("row", F.lit("x"))
+    odd_rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    for df, own in ((docs, rows), (odd, odd_rows)):
+        out = jaccard.keep_one(df)
+        assert out.schema == df.schema
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        want = kept_by_brute_force(own, 5, 80)
+        assert len(got) == len(want)
+        left = sorted(((i is None, i or 0), t or "") for i, t in got)
+        for key, texts in want:
+            match = next(x for x in left if x[0] == key and x[1] in texts)
+            left.remove(match)
+        assert not left
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
 # --- 1 classifier, and the pipeline
 
 
