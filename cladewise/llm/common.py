@@ -78,6 +78,14 @@ def row_hash(docs: DataFrame):
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
 
 
+def rows_within(docs: DataFrame, keys: DataFrame, how: str, most: int) -> DataFrame:
+    """docs joined (left_semi or left_anti) with stored keys: doc_id and row, a row_hash() of docs. All columns of docs stay."""
+    keys = broadcast_if_small(keys.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d")), most)
+    keyed = docs.withColumn("_row", row_hash(docs)).withColumn("_doc", F.col("doc_id").cast("long"))
+    met = keyed.join(keys, (F.col("_row") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d")), how)
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def bytes_of(col: str):
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 

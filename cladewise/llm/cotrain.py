@@ -9,6 +9,9 @@ every document.
 Bounds, all parameters of the fit: labelled rows (SAMPLE), pseudo-labels for each class, view and round (PSEUDO), features
 (FEATURES). Labelled rows are drawn by class, rare classes first, and weigh as much as the rows they stand for; pseudo-labels are
 drawn from distinct texts. Scoring covers all rows.
+
+The features are fixed before the first round, so texts are read once: a table keeps, for each row, the places of its
+features and its metadata, and the rounds and the final scores work on that table.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, split_words, stored
+from .common import broadcast_if_small, discard, row_hash, rows_within, slices, small_batches, split_words, stored
 
 SAMPLE, PSEUDO, ROUNDS, FEATURES = 6_000, 150, 2, 1_500
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
@@ -48,7 +51,7 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 def metadata(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
-    """Metadata and layout of rows lo..hi, as a dense matrix."""
+    """Metadata and layout of rows lo..hi: numbers, and last the slots of language and source."""
     texts = pc.fill_null(batch.column("text")[lo:hi], "")
     size = np.asarray(pc.binary_length(texts), np.int64)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -61,11 +64,19 @@ def metadata(batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
     claimed = np.asarray(pc.fill_null(batch.column("n_chars")[lo:hi], 0), np.float64)
     x = [np.log1p(np.maximum(claimed, 0)), np.log1p(size), upper / n, symbols / n, spaces / n, np.log1p(lines), digits / n, np.log1p(size / (lines + 1))]
     x += [np.minimum(symbols / n * 10, 1), np.minimum(upper / n * 10, 1), (size == 0).astype(float)]
-    rows = np.zeros((hi - lo, len(x) + LANG_SLOTS + SOURCE_SLOTS), np.float32)
-    rows[:, : len(x)] = np.stack(x, 1)
-    for name, slots, at in (("lang", LANG_SLOTS, len(x)), ("source", SOURCE_SLOTS, len(x) + LANG_SLOTS)):
+    for name, slots in (("lang", LANG_SLOTS), ("source", SOURCE_SLOTS)):
         hashed = [xxhash.xxh3_64_intdigest(v or "") % slots for v in batch.column(name)[lo:hi].to_pylist()]
-        rows[np.arange(hi - lo), at + np.array(hashed, np.int64)] = 1
+        x.append(np.array(hashed, np.float64))
+    return np.stack(x, 1).astype(np.float32)
+
+
+def one_hot(meta: np.ndarray) -> np.ndarray:
+    """Rows of metadata() with a column for each slot."""
+    n = meta.shape[1] - 2
+    rows = np.zeros((len(meta), n + LANG_SLOTS + SOURCE_SLOTS), np.float32)
+    rows[:, :n] = meta[:, :n]
+    for i, at in ((n, n), (n + 1, n + LANG_SLOTS)):
+        rows[np.arange(len(meta)), at + meta[:, i].astype(np.int64)] = 1
     return rows
 
 
@@ -212,30 +223,36 @@ class Fitter:
 
 # --- over tables ------------------------------------------------------------------------------------------------------
 
+_VIEWS = (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))
+#: Rows (two long integers) that may be sent to all executors; beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+_META = 13  # numbers of metadata()
 
-def _rows(docs: DataFrame, *more: str) -> DataFrame:
+
+def _rows(docs: DataFrame) -> DataFrame:
     have = set(docs.columns)
-    col = lambda c, t: (F.col(c).cast(t) if c in have else F.lit(None).cast(t)).alias(c)
-    return docs.select(col("doc_id", "long"), col("text", "string"), col("lang", "string"), col("source", "string"), col("n_chars", "long"), *more)
+    return docs.select(*[(F.col(c).cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in _VIEWS], row_hash(docs).alias("row"))
 
 
-def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """features, meta and the columns of `wanted`, a bounded set of doc_ids."""
-    columns = [c for c in wanted.columns if c != "doc_id"]
+def _sample_features(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """features (names), meta and the columns of `sample`, a bounded set of doc_ids. Of rows that share a doc_id, that with
+    the smallest hash counts."""
+    columns = [c for c in sample.columns if c != "doc_id"]
 
     def scan(batches):
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
-                meta = metadata(batch, lo, hi)
                 own = [sorted({f for w in set((t or "").split()) for f in word_features(w)}) for t in batch.column("text")[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(own, pa.list_(pa.string())), pa.array(list(meta), pa.list_(pa.float32())), *[batch.column(c)[lo:hi] for c in columns]], ["doc_id", "features", "meta", *columns]
-                )
+                meta = pa.array([m.tobytes() for m in metadata(batch, lo, hi)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(own, pa.list_(pa.string())), meta, *[batch.column(c)[lo:hi] for c in columns]], ["doc_id", "features", "meta", *columns])
 
-    kinds = dict(wanted.dtypes)
-    schema = ", ".join(["doc_id long", "features array<string>", "meta array<float>", *[f"{c} {kinds[c]}" for c in columns]])
-    rows = _rows(docs).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
-    return stored(rows.mapInArrow(scan, schema), "features")
+    kinds = dict(sample.dtypes)
+    schema = ", ".join(["doc_id long, features array<string>, meta binary", *[f"{c} {kinds[c]}" for c in columns]])
+    rows = _rows(docs)
+    first = rows.join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("row").alias("row"))
+    first = stored(first.join(sample, "doc_id"), "drawn")
+    met = rows.join(F.broadcast(first), ["doc_id", "row"]).dropDuplicates(["doc_id"])
+    return stored(met.mapInArrow(scan, schema), "features")
 
 
 def select_features(sample: DataFrame, labels: np.ndarray, most: int = FEATURES) -> list[str]:
@@ -247,9 +264,16 @@ def select_features(sample: DataFrame, labels: np.ndarray, most: int = FEATURES)
     return [r["feature"] for r in top.collect()]
 
 
-def _collect(rows: DataFrame, names: list[str], columns: list[str]) -> tuple[list[np.ndarray], np.ndarray, list]:
-    """Bounded rows of _features() on the driver: the places of their selected features, metadata, other columns."""
+def _unpacked(at, meta) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of features and one-hot metadata of bounded rows on the driver."""
+    numbers = np.array([np.frombuffer(bytes(m), np.float32) for m in meta], np.float32).reshape(len(meta), _META)
+    return [np.frombuffer(bytes(x), "<u2") for x in at], one_hot(numbers)
+
+
+def _collect_sample(rows: DataFrame, names: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The bounded sample on the driver: the places of its selected features, metadata, and quality, toxic, held, weight."""
     index = {f: i for i, f in enumerate(names)}
+    columns = [*TARGETS, "held", "weight"]
 
     def pack(batches):
         for batch in batches:
@@ -257,33 +281,53 @@ def _collect(rows: DataFrame, names: list[str], columns: list[str]) -> tuple[lis
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), *[batch.column(c) for c in ("meta", *columns)]], ["at", "meta", *columns])
 
     kinds = dict(rows.dtypes)
-    got = rows.mapInArrow(pack, ", ".join(["at binary", "meta array<float>", *[f"{c} {kinds[c]}" for c in columns]])).collect()
-    width = 11 + LANG_SLOTS + SOURCE_SLOTS
-    return [np.frombuffer(bytes(r["at"]), "<u2") for r in got], np.array([r["meta"] for r in got], np.float32).reshape(len(got), width), [tuple(r[c] for c in columns) for r in got]
+    got = rows.mapInArrow(pack, ", ".join(["at binary, meta binary", *[f"{c} {kinds[c]}" for c in columns]])).collect()
+    return *_unpacked([r["at"] for r in got], [r["meta"] for r in got]), np.array([[float(r[c]) for c in columns] for r in got]).reshape(len(got), 4)
+
+
+def featurise(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Per row (stored): doc_id, row, text_hash, at (places of its features, two bytes each), meta."""
+
+    def scan(batches):
+        vocabulary = Vocabulary(names)
+        for batch in batches:
+            for lo, hi in slices(batch.column("text")):
+                row, feature = vocabulary.pairs(batch.column("text")[lo:hi])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
+                at = _binary(feature.astype("<u2"), ends * 2)
+                meta = _binary(metadata(batch, lo, hi), np.arange(hi - lo + 1) * 4 * _META)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in ("doc_id", "row", "text_hash")], at, meta], ["doc_id", "row", "text_hash", "at", "meta"])
 
+    rows = _rows(docs).withColumn("text_hash", F.xxhash64("text"))
+    return stored(rows.mapInArrow(scan, "doc_id long, row long, text_hash long, at binary, meta binary"), "featurised")
 
-def _scorer(model: Model):
-    def views(batch: pa.RecordBatch, vocabulary: Vocabulary):
-        for lo, hi in slices(batch.column("text")):
-            row, feature = vocabulary.pairs(batch.column("text")[lo:hi])
-            yield lo, hi, model.views(row, feature, metadata(batch, lo, hi))
 
-    return views
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
 
 
-def _all_views(docs: DataFrame, model: Model) -> DataFrame:
-    """Calibrated logits of every document: doc_id, text_hash, z_<target>_<view>."""
-    names = [f"z_{t}_{v}" for t in TARGETS for v in ("text", "meta")]
-    views = _scorer(model)
+def _scored(featurised: DataFrame, model: Model, schema: str, result) -> DataFrame:
+    """Scores of all rows by `result` (from the views' logits to columns), after doc_id, row and text_hash."""
 
     def scan(batches):
-        vocabulary = Vocabulary(model.names)
         for batch in batches:
-            for lo, hi, z in views(batch, vocabulary):
-                z = model.calibrated(z).reshape(hi - lo, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], *[pa.array(z[:, i]) for i in range(z.shape[1])]], ["doc_id", "text_hash", *names])
+            at, meta = batch.column("at"), batch.column("meta")
+            n = batch.num_rows
+            sizes = np.asarray(pc.binary_length(at), np.int64) // 2
+            feature = np.frombuffer(b"".join(x.as_buffer() for x in at), "<u2").astype(np.int64)
+            numbers = np.frombuffer(b"".join(x.as_buffer() for x in meta), np.float32).reshape(n, _META)
+            z = model.views(np.repeat(np.arange(n), sizes), feature, one_hot(numbers))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "text_hash")] + [pa.array(x) for x in result(z)], names)
 
-    return _rows(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, text_hash long, " + ", ".join(f"{n} double" for n in names))
+    schema = "doc_id long, row long, text_hash long, " + schema
+    names = [c.split()[0] for c in schema.split(", ")]
+    return featurised.mapInArrow(scan, schema)
+
+
+def _all_views(featurised: DataFrame, model: Model) -> DataFrame:
+    """Calibrated logits of every row: doc_id, row, text_hash, z_<target>_<view>."""
+    names = [f"z_{t}_{v}" for t in TARGETS for v in ("text", "meta")]
+    return _scored(featurised, model, ", ".join(f"{n} double" for n in names), lambda z: np.ascontiguousarray(model.calibrated(z).reshape(len(z), -1).T))
 
 
 def quotas(counts: dict, most: int) -> dict:
@@ -306,97 +350,92 @@ def draw_sample(usable: DataFrame) -> DataFrame:
 
 
 def pseudo_labels(scored: DataFrame) -> DataFrame:
-    """doc_id, target, view, label: what each view is surest about, for the other view. A text counts once, by its surest row."""
+    """doc_id, row, target, view, label: what each view is surest about, for the other view. A text counts once, by its surest row."""
     kinds = [(t, v, label, F.col(f"z_{target}_{name}")) for t, target in enumerate(TARGETS) for v, name in enumerate(("text", "meta")) for label in (1, 0)]
     # The larger logit first, or the smaller one; then the smaller doc_id.
-    surest = [F.min(F.struct((-z if label else z).alias("z"), "doc_id")).alias(f"k{i}") for i, (_, _, label, z) in enumerate(kinds)]
+    surest = [F.min(F.struct((-z if label else z).alias("z"), "doc_id", "row")).alias(f"k{i}") for i, (_, _, label, z) in enumerate(kinds)]
     texts = stored(scored.groupBy("text_hash").agg(*surest), "surest")
     picks = None
     for i, (t, view, label, _) in enumerate(kinds):
-        best = texts.where(F.col(f"k{i}.z") < -math.log(9)).orderBy(f"k{i}.z", f"k{i}.doc_id").limit(PSEUDO)
-        best = best.select(F.col(f"k{i}.doc_id").alias("doc_id"), F.lit(t).alias("target"), F.lit(1 - view).alias("view"), F.lit(label).alias("label"))
+        best = texts.where(F.col(f"k{i}.z") < -math.log(9)).orderBy(f"k{i}.z", f"k{i}.doc_id", f"k{i}.row").limit(PSEUDO)
+        best = best.select(F.col(f"k{i}.doc_id").alias("doc_id"), F.col(f"k{i}.row").alias("row"), F.lit(t).alias("target"), F.lit(1 - view).alias("view"), F.lit(label).alias("label"))
         picks = best if picks is None else picks.union(best)
     return picks
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Co-train on labels (doc_id, quality, toxic). A target with fewer than ten rows of a class in the
-    fitted part of the sample gets a constant score. None if that holds for both, or fewer than ten rows are held out."""
+def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> tuple[Model | None, DataFrame | None]:
+    """Co-train on labels (doc_id, quality, toxic): the model and the features of all docs, for score_documents().
+
+    A target with fewer than ten rows of a class in the fitted part of the sample gets a constant score. No model
+    if that holds for both, or fewer than ten rows are held out. Labels that are null or not 0 or 1 are left out; of labels that
+    contradict each other, the worse holds. Ties for a place in the sample or among pseudo-labels go to the smaller doc_id.
+    """
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     usable = stored(usable, "labels")
-    sample = stored(draw_sample(usable), "sample")
-    rows = _features(docs, sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0))
+    sample = stored(draw_sample(usable).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0), "sample")
+    rows = _sample_features(docs, sample)
     known = np.array([tuple(r) for r in rows.select(*TARGETS, "held").collect()], np.int8).reshape(-1, 3)
     fits = known[known[:, 2] == 0][:, :2]
     ones = fits.sum(0, dtype=int)
     fitted = [t for t in range(len(TARGETS)) if min(ones[t], len(fits) - ones[t]) >= 10]
     if not fitted or known[:, 2].sum() < 10:
-        return None
+        return None, None
     names = select_features(rows.where("not held"), fits)
-    texts, meta, known = _collect(rows, names, [*TARGETS, "held", "weight"])
-    known = np.array(known, np.float64)
+    texts, meta, known = _collect_sample(rows, names)
     fitter = Fitter(names, texts, meta, known[:, :2], known[:, 2].astype(bool), known[:, 3], fitted)
     model = fitter.fit()
+    discard(sample, rows)
+    featurised = featurise(docs, names)
+    labelled = broadcast_if_small(usable.select("doc_id"), BROADCAST_ROWS)
     for _ in range(rounds):
-        scored = (_all_views(docs, model).where("doc_id is not null").join(usable.select("doc_id"), "doc_id", "left_anti"))
-        chosen = stored(pseudo_labels(scored).groupBy("doc_id").agg(F.collect_set(F.struct("target", "view", "label")).alias("uses")), "chosen")
-        texts, meta, uses = _collect(_features(docs, chosen), names, ["uses"])
+        picks = pseudo_labels(_all_views(featurised, model).where("doc_id is not null").join(labelled, "doc_id", "left_anti"))
+        chosen = stored(picks.groupBy("row").agg(F.collect_set(F.struct("target", "view", "label")).alias("uses")), "chosen")
+        # At most eight times PSEUDO rows; rows that are the same in all columns count once.
+        got = featurised.join(F.broadcast(chosen), "row").dropDuplicates(["row"]).select("at", "meta", "uses").collect()
+        texts, meta = _unpacked([r["at"] for r in got], [r["meta"] for r in got])
         for t in range(len(TARGETS)):
             for view in (0, 1):
-                at = [(i, u["label"]) for i, (us,) in enumerate(uses) for u in us if (u["target"], u["view"]) == (t, view)]
-                if at:
-                    i = [a for a, _ in at]
-                    fitter.add(t, view, [texts[j] for j in i], meta[i], np.array([b for _, b in at]))
+                use = [(i, u["label"]) for i, r in enumerate(got) for u in r["uses"] if (u["target"], u["view"]) == (t, view)]
+                if use:
+                    i = [a for a, _ in use]
+                    fitter.add(t, view, [texts[j] for j in i], meta[i], np.array([b for _, b in use]))
         model = fitter.fit()
-    return model
+        discard(chosen)
+    discard(usable)
+    return model, featurised
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+def _decisions(docs: DataFrame, model: Model, featurised: DataFrame | None) -> DataFrame:
+    """doc_id, row, text_hash, quality, toxic, keep of all rows."""
+
+    def result(z):
+        p = np.round(model.score(z), 6)
+        return p[:, 0], p[:, 1], (p[:, 0] >= 0.5) & (p[:, 1] < 0.5)
+
+    small_batches(docs.sparkSession)
+    return _scored(featurised or featurise(docs, model.names), model, "quality double, toxic double, keep boolean", result)
+
+
+def score_documents(docs: DataFrame, model: Model | None, featurised: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, quality, toxic (probabilities) and keep: quality at least a half, toxic below it.
 
-    Nulls in any column count as empty text, unknown language or source, or length 0. Without a model everything scores
-    one half for quality and zero for toxic, and is kept. Repeated rows score alike; other columns are ignored.
+    `featurised` is what train() or featurise() gave for these docs. Nulls in any column count as empty text, unknown
+    language or source, or length 0; a text is scored whole, however long. Without a model everything scores one half for
+    quality and zero for toxic, and is kept. Repeated rows score alike; an empty table gives no rows; other columns are
+    ignored.
     """
     if model is None:
         return _rows(docs).select("doc_id", F.lit(0.5).alias("quality"), F.lit(0.0).alias("toxic"), F.lit(True).alias("keep"))
-    small_batches(docs.sparkSession)
-    views = _scorer(model)
-
-    def scan(batches):
-        vocabulary = Vocabulary(model.names)
-        for batch in batches:
-            for lo, hi, z in views(batch, vocabulary):
-                p = np.round(model.score(z), 6)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p[:, 0] >= 0.5) & (p[:, 1] < 0.5))], ["doc_id", "quality", "toxic", "keep"])
+    return _decisions(docs, model, featurised).select("doc_id", "quality", "toxic", "keep")
 
-    return _rows(docs).mapInArrow(scan, "doc_id long, quality double, toxic double, keep boolean")
 
-
-def keep_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that score_documents() keeps, all columns as they are."""
+def keep_documents(docs: DataFrame, model: Model | None, featurised: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that score_documents() keeps, all columns as they are; rows that are the same go or stay together."""
     if model is None:
         return docs
-    small_batches(docs.sparkSession)
-    views = _scorer(model)
-    names = docs.columns
-
-    def scan(batches):
-        vocabulary = Vocabulary(model.names)
-        for batch in batches:
-            seen = pa.RecordBatch.from_arrays(batch.columns[len(names) :], ["doc_id", "text", "lang", "source", "n_chars"])
-            keep = [np.empty(0, bool)]
-            for _, _, z in views(seen, vocabulary):
-                p = np.round(model.score(z), 6)
-                keep.append((p[:, 0] >= 0.5) & (p[:, 1] < 0.5))
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(np.concatenate(keep)))
-
-    both = docs.select("*", *[c for c in _view_columns(docs)])
-    return both.mapInArrow(scan, docs.schema)
-
-
-def _view_columns(docs: DataFrame):
-    have = set(docs.columns)
-    for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")):
-        yield (F.col(c).cast(t) if c in have else F.lit(None).cast(t)).alias(f"_view_{c}")
+    featurised = featurised or featurise(docs, model.names)
+    gone = stored(_decisions(docs, model, featurised).where("not keep").select("doc_id", "row").distinct(), "rejected")
+    discard(featurised)
+    return rows_within(docs, gone, "left_anti", BROADCAST_ROWS)

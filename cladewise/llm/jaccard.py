@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, broadcast_if_small, discard, forest, key_runs, row_hash, signed, slices, small_batches, stored, word_codes
+from .common import Rolling, broadcast_if_small, discard, forest, key_runs, row_hash, rows_within, signed, slices, small_batches, stored, word_codes
 from .components import connected_components
 
 #: One shingle in so many (a power of two) is in the first count.
@@ -350,13 +350,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = stored(met.where("not stays").select("doc_id", "row").distinct(), "gone")
     same = stored(met.where("stays").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "same")
     discard(rows, best, met)
-    keyed = docs.withColumn("_row", row_hash(docs)).withColumn("_doc", F.col("doc_id").cast("long"))
+    kept = rows_within(docs, gone, "left_anti", BROADCAST_ROWS)
+    if not same.isEmpty():
+        kept = rows_within(kept, same, "left_anti", BROADCAST_ROWS).union(_once(rows_within(docs, same, "left_semi", BROADCAST_ROWS)))
+    return kept
 
-    def within(keys: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        keys = broadcast_if_small(keys.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d")), BROADCAST_ROWS)
-        return rows.join(keys, (F.col("_row") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d")), how)
 
-    kept = within(gone, keyed, "left_anti")
-    if not same.isEmpty():
-        kept = within(same, kept, "left_anti").union(within(same, keyed, "left_semi").dropDuplicates(["_row", "_doc"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _once(docs: DataFrame) -> DataFrame:
+    """One of each set of rows that are the same in all columns that can be hashed."""
+    return docs.withColumn("_row", row_hash(docs)).dropDuplicates(["_row", "doc_id"]).drop("_row")

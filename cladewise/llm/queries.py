@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return cotrain.score_documents(docs, cotrain.train(docs, _table(spark, sf_dir, "labels")))
+    return cotrain.score_documents(docs, *cotrain.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def test_rare_class(spark, monkeypatch):
     sample = cotrain.draw_sample(labels).collect()
     assert len(sample) <= 240 and sum(r["toxic"] for r in sample) == sum(r[2] for r in rows)
     assert abs(sum(r["weight"] for r in sample if r["toxic"]) / sum(r["weight"] for r in sample) - 43 / 3000) < 1e-6
-    got = {r["doc_id"]: r for r in cotrain.score_documents(docs, cotrain.train(docs, labels)).collect()}
+    got = {r["doc_id"]: r for r in cotrain.score_documents(docs, *cotrain.train(docs, labels)).collect()}
     assert np.mean([(got[i]["quality"] >= 0.5) == q for i, q, _ in rows]) > 0.95
     assert np.mean([got[i]["toxic"] >= 0.5 for i, _, t in rows if t]) > 0.9 and np.mean([got[i]["toxic"] < 0.5 for i, _, t in rows if not t]) > 0.98
 
@@ -33,7 +33,7 @@ def test_rare_class(spark, monkeypatch):
 def test_one_target(spark):
     """Without toxic labels quality is fitted all the same."""
     docs, labels, rows = corpus(spark, 400, 0)
-    got = {r["doc_id"]: r for r in cotrain.score_documents(docs, cotrain.train(docs, labels)).collect()}
+    got = {r["doc_id"]: r for r in cotrain.score_documents(docs, *cotrain.train(docs, labels)).collect()}
     assert np.mean([got[i]["keep"] == bool(q) for i, q, _ in rows]) > 0.95 and {r["toxic"] for r in got.values()} == {0.0}
 
 
@@ -41,7 +41,7 @@ def test_repeated_text(spark):
     """Copies of one text take one place of a quota."""
     n = cotrain.PSEUDO
     rows = [(i, 1, 9.0) for i in range(2 * n)] + [(1000 + i, 1000 + i, 8.0) for i in range(2 * n)]
-    scored = spark.createDataFrame([(i, h, z, z, -z, -z) for i, h, z in rows], "doc_id long, text_hash long, z_quality_text double, z_quality_meta double, z_toxic_text double, z_toxic_meta double")
+    scored = spark.createDataFrame([(i, i, h, z, z, -z, -z) for i, h, z in rows], "doc_id long, row long, text_hash long, z_quality_text double, z_quality_meta double, z_toxic_text double, z_toxic_meta double")
     got = cotrain.pseudo_labels(scored).collect()
     for t, label in ((0, 1), (1, 0)):
         for view in (0, 1):

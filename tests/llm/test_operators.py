@@ -393,15 +393,15 @@ def test_cotraining(spark, odd):
         if i % 5 < 3:
             labels.append((i, int(good), int(toxic)))
     df = spark.createDataFrame([d[:5] for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
-    model = cotrain.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    got = {r["doc_id"]: r for r in rows_of(cotrain.score_documents(df, model))}
+    model, features = cotrain.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in rows_of(cotrain.score_documents(df, model, features))}
     held = [d for d in docs if d[0] % 5 >= 3]
     assert np.mean([(got[d[0]]["quality"] >= 0.5) == d[5] for d in held]) > 0.95
     assert np.mean([(got[d[0]]["toxic"] >= 0.5) == d[6] for d in held]) > 0.95
     assert cotrain.score_documents(odd, model).count() == odd.count()
     kept = cotrain.keep_documents(odd, model)
     assert kept.schema == odd.schema and kept.count() == cotrain.score_documents(odd, model).where("keep").count()
-    none = cotrain.train(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    none, _ = cotrain.train(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none is None and cotrain.score_documents(df, none).where("keep").count() == 600 and cotrain.keep_documents(df, none).count() == 600
     assert cotrain.score_documents(df.limit(0), model).count() == 0
 
