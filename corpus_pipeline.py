@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier takes for junk or toxic go."""
-    return cotrain.keep_documents(docs, cotrain.train(docs, _table(spark, sf_dir, "labels")))
+    return cotrain.keep_documents(docs, *cotrain.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
