@@ -48,7 +48,7 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return out.select("doc_id", "domain", "lang", "source", "n_words", "epoch")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

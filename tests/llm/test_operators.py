@@ -243,16 +243,96 @@ def test_mix(spark, odd):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     got = rows_of(mixing.mix_sources(df, total=30_000, epochs=2))
     size = {i: len(t.split()) for i, t, *_ in docs}
-    assert all(r["n_tokens"] == size[r["doc_id"]] for r in got)
+    assert all(r["n_words"] == size[r["doc_id"]] for r in got)
     assert max(Counter((r["doc_id"], r["epoch"]) for r in got).values()) == 1
     leaves = len({(r["domain"], r["lang"], r["source"]) for r in got})
-    assert 30_000 - 30 * leaves <= sum(r["n_tokens"] for r in got) <= 30_000
+    assert 30_000 - 30 * leaves <= sum(r["n_words"] for r in got) <= 30_000
     first = {r["doc_id"] for r in got if r["epoch"] == 1}
     assert {r["doc_id"] for r in got if r["epoch"] == 2} <= first
+    assert got and mixing.mix_sources(df.limit(0)).count() == 0
     assert mixing.take_rows(odd).columns == odd.columns and mixing.take_rows(odd.limit(0)).count() == 0
     assert mixing.mix_sources(odd, total=10**9, epochs=1).count() == odd.count()
 
 
+def shared_out(budget, children):
+    """children: {name: (weight, limit)}; the budget by water-filling."""
+    given, open_ = {c: 0.0 for c in children}, {c for c, (w, cap) in children.items() if w > 0 and cap > 0}
+    while open_:
+        rate = budget / sum(children[c][0] for c in open_)
+        full = {c for c in open_ if children[c][1] <= rate * children[c][0]}
+        if not full:
+            return given | {c: rate * children[c][0] for c in open_}
+        given |= {c: children[c][1] for c in full}
+        budget -= sum(children[c][1] for c in full)
+        open_ -= full
+    return given
+
+
+def mix_by_brute_force(rows, places, total, weights, epochs):
+    """rows: (domain, lang, source, words, key); places: key -> {epoch: place}. Times that each row is taken."""
+    weight = lambda level, name: weights.get(level, {}).get(name, 1.0)
+    tokens = Counter()
+    for d, l, s, n, _ in rows:
+        tokens[d, l, s] += n
+    ok = {x: n * epochs if weight("domain", x[0]) > 0 and weight("lang", x[1]) > 0 and weight("source", x[2]) > 0 else 0 for x, n in tokens.items()}
+    sums = lambda depth, under: {k: (weight(mixing.LEVELS[depth], k), sum(v for x, v in ok.items() if x[:depth] == under and x[depth] == k)) for k in {x[depth] for x in ok if x[:depth] == under}}
+    budget = {}
+    for d, b in shared_out(total, sums(0, ())).items():
+        for l, c in shared_out(b, sums(1, (d,))).items():
+            for s, g in shared_out(c, sums(2, (d, l))).items():
+                budget[d, l, s] = int(np.floor(g + 1e-6))
+    times = [0] * len(rows)
+    for leaf, b in budget.items():
+        at = [i for i, r in enumerate(rows) if r[:3] == leaf]
+        whole = min(b // tokens[leaf], epochs) if tokens[leaf] else 0
+        left = b - whole * tokens[leaf]
+        units = defaultdict(list)
+        for i in at:
+            units[rows[i][4]].append(i)
+        through, fits = 0, not tokens[leaf] or left > 0
+        for key in sorted(units, key=lambda k: (places[k][whole + 1], *k)):
+            through += sum(rows[i][3] for i in units[key])
+            fits = fits and through <= left
+            for i in units[key]:
+                times[i] = whole + (fits if whole < epochs else 0)
+    return times
+
+
+def test_mix_against_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 7)
+    docs = [(i if i % 11 else None, " ".join(["w"] * (i % 30)) if i % 13 else None, ["en", "de", None][i % 3], "hot" if i % 2 else f"s{i % 5}", ["x", "y", None, "z"][i % 4]) for i in range(600)]
+    docs += [(7, "a b c", "en", "hot", "x")] * 5 + [(8, "", "fr", "none", "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, domain string")
+    weights = {"domain": {"x": 2.0, "y": 1.0}, "lang": {"en": 3.0, "de": 0.5}, "source": {"hot": 4.0, "s3": 0.0}}
+    for table, total in ((df, 4_000), (df, 20_000), (df, 1), (odd.withColumn("domain", F.lit("x")), 50_000), (df, 0)):
+        keyed = table.select("*", mixing.row_hash(table).alias("h"), *[mixing.place(7, F.lit(e), F.col("doc_id"), mixing.row_hash(table)).alias(f"p{e}") for e in (1, 2, 3)]).collect()
+        named = lambda x: mixing.NONE if x is None else x
+        key = lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["h"])
+        rows = [(named(r["domain"]), named(r["lang"]), named(r["source"]), len((r["text"] or "").encode().split()), key(r)) for r in keyed]
+        places = {key(r): {e: r[f"p{e}"] for e in (1, 2, 3)} for r in keyed}
+        want = mix_by_brute_force(rows, places, total, weights, 2)
+        got = Counter((r["doc_id"], r["row"]) for r in rows_of(mixing.mix_sources(table, total=total, weights=weights)))
+        expect = Counter()
+        for r, n in zip(keyed, want):
+            expect[r["doc_id"], r["h"]] += n
+        assert +expect == got
+        taken = Counter((r["doc_id"], r["text"]) for r in rows_of(mixing.take_rows(table, total=total, weights=weights)))
+        expect = Counter()
+        for r, n in zip(keyed, want):
+            expect[r["doc_id"], r["text"]] += n
+        assert +expect == taken
+
+
+def test_many_children(spark):
+    """A family so large that its budget settles in one bin of limit / weight."""
+    rng = np.random.default_rng(4)
+    kids = {f"k{i}": (float(rng.integers(0, 4)), float(rng.integers(0, 1000))) for i in range(3000)}
+    df = spark.createDataFrame([(0, 200_000.0, c, w, cap) for c, (w, cap) in kids.items()], "root int, budget double, name string, weight double, limit double")
+    want = shared_out(200_000.0, kids)
+    got = {r["name"]: r["given"] for r in rows_of(mixing.share(df, ["root"], "name"))}
+    assert all(abs(got[c] - want[c]) < 1e-6 for c in kids)
+
+
 # --- 9 WARC
 
 
