@@ -186,13 +186,54 @@ def test_shards(spark, odd):
         assert r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
         where[texts[r["doc_id"]]].add(r["shard"])
     assert all(len(s) == 1 for s in where.values())
-    # a group that outweighs a shard is dealt by doc_id
-    heavy = spark.createDataFrame([(i, "same " * 50) for i in range(800)] + [(800 + i, prose(20, i)) for i in range(200)], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
-    by = Counter()
-    for r in rows_of(kd_shards.shard_documents(heavy, 8)):
-        by[r["shard"]] += r["size"]
-    assert max(by.values()) < 1.25 * min(by.values())
-    assert kd_shards.shard_documents(odd).count() == odd.count() and kd_shards.shard_documents(odd.limit(0)).count() == 0
+    # a group that outweighs a shard is dealt row by row, whatever its ids
+    for ids in (list(range(800)), [None] * 800, [5] * 800):
+        heavy = spark.createDataFrame([(i, "same " * 50) for i in ids] + [(800 + i, prose(20, i)) for i in range(200)], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+        by = Counter()
+        for r in rows_of(kd_shards.shard_documents(heavy, 8)):
+            by[r["shard"]] += r["size"]
+        assert len(by) == 8 and max(by.values()) < 1.25 * min(by.values())
+    own = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows_of(kd_shards.shard_documents(odd))) == own
+    assert kd_shards.shard_documents(odd.limit(0)).count() == 0
+
+
+def test_every_cut_is_a_weighted_median(spark, monkeypatch):
+    monkeypatch.setattr(kd_shards, "BINS", 4)  # several passes for each cut
+    rng = np.random.default_rng(8)
+    groups = [(i, int(rng.integers(1, 100)), float(rng.integers(0, 5)) / 5 if i % 3 else 0.2, float(rng.random()), float(i * 7919 % 100_003)) for i in range(400)]
+    df = spark.createDataFrame(groups, "id long, bytes long, a double, b double, tie double")
+    for rooms in ([1, 1, 1, 1], [1, 1, 1], [5, 1, 0, 2]):
+        placed, levels = kd_shards.grow_tree(df, ["a", "b"], rooms)
+        node, runs = {g[0]: 1 for g in groups}, {1: (0, len(rooms))}
+        for cuts in levels:
+            for c in cuts.collect():
+                lo, hi = runs.pop(c["node"])
+                mid = (lo + hi) // 2
+                runs[2 * c["node"]], runs[2 * c["node"] + 1] = (lo, mid), (mid, hi)
+                mine = [g for g in groups if node[g[0]] == c["node"]]
+                spread = [max(g[d] for g in mine) - min(g[d] for g in mine) for d in (2, 3)]
+                assert spread[c["dim"]] == max(spread)
+                total, share = sum(g[1] for g in mine), sum(rooms[lo:mid]) / sum(rooms[lo:hi])
+                assert abs(c["goal"] - max(1, total * share)) <= 0.5
+                mine.sort(key=lambda g: (g[2 + c["dim"]], g[4]))
+                sums = np.concatenate([[0], np.cumsum([g[1] for g in mine])])
+                left = [g for g in mine if (g[2 + c["dim"]], g[4]) <= (c["x"], c["tie"])]
+                assert left == mine[: len(left)] and abs(sums[len(left)] - c["goal"]) == np.abs(sums - c["goal"]).min()
+                for i, g in enumerate(mine):
+                    node[g[0]] = 2 * c["node"] + (i >= len(left))
+        assert {r["id"]: r["shard"] for r in placed.collect()} == {g: runs[n][0] for g, n in node.items()}
+
+
+def test_weighted_ranks(spark):
+    """Names with a long common beginning are told apart, and the hot one takes the room of its bytes."""
+    df = spark.createDataFrame([(f"common_source_{i}", 10 + 90 * (i == 3)) for i in range(8) for _ in range(5)], "m string, bytes long")
+    got = {r["m"]: r["rank"] for r in kd_shards.weighted_ranks(df, "m").collect()}
+    want, below = {}, 0
+    for i in range(8):
+        want[f"common_source_{i}"] = below / 850
+        below += 50 + 450 * (i == 3)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
 # --- 7 substrings
