@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, signed, slices, small_batches, stored, word_codes
+from .common import Rolling, broadcast_if_small, discard, signed, slices, small_batches, stored, word_codes
 
 #: Ids of documents to extend that may be sent to all executors; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -97,14 +97,18 @@ def repeated_windows(docs: DataFrame, length: int = 35, gram: int = 12) -> DataF
         .select("seed", (F.col("low") != F.col("high")).alias("several"))
     )
     # Written first: a join that follows straight on the grouping could not split a frequent seed.
-    met = stored(occurrences.join(stored(repeated, "repeated"), "seed"), "seeds")
-    classes = stored(met.where("several").groupBy("seed", "context").agg(F.count("*").alias("times"), F.min("doc").alias("doc")), "classes")
-
-    # One member of each class is extended; its document is read again and told which contexts to extend.
-    wanted = classes.groupBy("doc").agg(F.collect_list("context").alias("contexts"))
-    at = classes.select("doc").distinct()
-    at = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
-    read_again = rows.join(at, "doc", "left_semi").join(wanted.hint("shuffle_merge"), "doc").select("text", "contexts")
+    repeated = stored(repeated, "repeated")
+    met = stored(occurrences.join(repeated, "seed"), "seeds")
+    discard(repeated)
+    one = F.min(F.struct("doc", "text_hash"))
+    classes = stored(met.where("several").groupBy("seed", "context").agg(F.count("*").alias("times"), one.alias("member")), "classes")
+
+    # One member of each class is extended; its text is read again and told which contexts to extend. A text has no more
+    # contexts than seeds, whatever the number of its copies.
+    key = ["doc", "text_hash"]
+    wanted = stored(classes.groupBy(F.col("member.doc").alias("doc"), F.col("member.text_hash").alias("text_hash")).agg(F.collect_list("context").alias("contexts")), "wanted")
+    at = broadcast_if_small(wanted.select(*key), BROADCAST_IDS)
+    read_again = rows.join(at, key, "left_semi").join(wanted.hint("shuffle_merge"), key).select("text", "contexts")
 
     def extend(batches):
         for batch in batches:
@@ -125,16 +129,22 @@ def repeated_windows(docs: DataFrame, length: int = 35, gram: int = 12) -> DataF
                 )
 
     windows = read_again.mapInArrow(extend, "seed long, context long, at int, hash long")
-    shared = windows.groupBy("seed", "hash").agg(F.count("*").alias("times")).where("times > 1").select("seed", "hash")
+    # Windows that several classes of a seed share; copies of a member say the same of one class.
+    shared = windows.groupBy("seed", "hash").agg(F.min("context").alias("low"), F.max("context").alias("high")).where("low <> high").select("seed", "hash")
     bit = F.expr("shiftleft(1L, at)")
     partial = windows.join(shared, ["seed", "hash"]).groupBy("seed", "context").agg(F.bit_or(bit).alias("mask"))
     masks = classes.join(partial, ["seed", "context"], "left").select(
         "seed", "context", F.when(F.col("times") > 1, F.lit(-1)).otherwise(F.coalesce("mask", F.lit(0))).cast("long").alias("mask")
     )
-    hits = met.join(masks.where("mask <> 0"), ["seed", "context"], "left").select(
+    # Written first, like the seeds: a frequent context can then be split.
+    masks = stored(masks.where("mask <> 0"), "masks")
+    hits = met.join(masks, ["seed", "context"], "left").select(
         "doc", "text_hash", F.struct("start", "n", F.when(F.col("several"), F.coalesce("mask", F.lit(0))).otherwise(F.lit(-1)).cast("long").alias("mask")).alias("w")
     )
-    return hits.where("w.mask <> 0").groupBy("doc", "text_hash").agg(F.collect_list("w").alias("windows"))
+    # Rows with the same doc_id and text have the same windows.
+    hits = stored(hits.where("w.mask <> 0").groupBy("doc", "text_hash").agg(F.collect_set("w").alias("windows")), "hits")
+    discard(met, classes, wanted, masks)
+    return hits
 
 
 def _covered(n_words: int, windows, length: int) -> np.ndarray:
@@ -155,8 +165,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 12, texts: boo
 
     Returns per row: doc_id, n_words, n_removed, kept_sha256, repeats array<struct<start, end>> (maximal repeats, in words,
     end exclusive) and, with `texts`, kept_text (words joined by one space). Words are `[^\\x20\\x09-\\x0D]+`. Null and
-    empty texts have no words. Rows repeated whole, or with a null doc_id, count as occurrences of their own. Other columns
-    are ignored.
+    empty texts have no words; a text is taken whole, however long. Rows repeated whole, or with a null or repeated doc_id,
+    count as occurrences of their own; equal seeds of a window are no matter of order, since the leftmost is taken. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     hits = repeated_windows(docs, length, gram)
     rows = docs.select(

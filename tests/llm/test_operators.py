@@ -264,6 +264,11 @@ def test_substrings(spark, odd):
     own = [r["text"] for r in odd.select("text").collect()]
     assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring.remove_repeats(odd, 35))) == sorted(brute_repeats(own, 35))
     assert substring.remove_repeats(docs.limit(0)).count() == 0
+    # ids that are missing or repeat: every row stands for itself
+    for ids in ([None] * len(texts), [1] * len(texts)):
+        unnamed = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)] + [(7, texts[0], "y")] * 3, "doc_id long, text string, seed string")
+        want = brute_repeats([*texts, *[texts[0]] * 3], 35)
+        assert sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring.remove_repeats(unnamed, 35))) == sorted(want)
 
 
 # --- 8 mixing
