@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import keep
+
 
 def composite_key(reads: DataFrame) -> DataFrame:
     return reads.withColumn("chr_mutation", F.concat_ws("_", "chr", F.col("mutation_id").cast("string")))
@@ -13,10 +15,11 @@ def composite_key(reads: DataFrame) -> DataFrame:
 def dense_ids(labels: DataFrame, label: str, index: str, spread: int = 1024) -> DataFrame:
     """(index, label): 0-based places of the sorted distinct labels.
 
-    Ranges of labels are numbered apart and shifted by what lies before them, so no task sees all labels.
+    Ranges of labels are numbered apart and shifted by what lies before them, so no task sees all labels. The ranges are
+    drawn from a sample, so they are written once and read twice.
     """
     distinct = labels.select(label).distinct()
-    placed = distinct.repartitionByRange(spread, label).withColumn("_part", F.spark_partition_id())
+    placed = keep(distinct.repartitionByRange(spread, label).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(label)) - 1

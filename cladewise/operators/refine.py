@@ -13,12 +13,25 @@ def unplaced(universe: DataFrame, owned: DataFrame, ident: str) -> DataFrame:
     return universe.select(ident).join(owned.select(ident), ident, "left_anti")
 
 
+def sums_by_node(facts: DataFrame, cell_node: DataFrame) -> DataFrame:
+    """(snv_id, node of the cells, ll0, more, n, v): facts summed up over the cells of each node. All that is asked of the
+    SNVs of a tree whose cells stay follows from this."""
+    at = facts.join(cell_node.select("cell_id", "node"), "cell_id")
+    more = F.sum(F.col("ll1") - F.col("ll0")) if "ll1" in facts.columns else F.lit(None).cast("double")
+    ll0 = F.sum("ll0") if "ll0" in facts.columns else F.lit(None).cast("double")
+    return at.groupBy("snv_id", "node").agg(ll0.alias("ll0"), more.alias("more"), F.count_if(F.col("total") > 0).alias("n"), F.count_if(F.col("var") > 0).alias("v"))
+
+
 def bad_snvs(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, q: float = 0.1) -> DataFrame:
     """(node, snv_id): of a node's SNVs, those unobserved in its clade and those whose binary fraction there is at most the
     q quantile."""
-    clade = tree.clade_members(edges, cell_node, "cell_id")
-    mine = facts.join(clade, "cell_id").join(snv_node, ["node", "snv_id"])
-    f = mine.groupBy("node", "snv_id").agg(F.try_divide(F.count_if(F.col("var") > 0).cast("double"), F.count_if(F.col("total") > 0).cast("double")).alias("f"))
+    return _bad_snvs(sums_by_node(facts, cell_node), edges, snv_node, q)
+
+
+def _bad_snvs(sums: DataFrame, edges: DataFrame, snv_node: DataFrame, q: float) -> DataFrame:
+    down = tree.closure(edges, itself=True).select(F.col("anc").alias("clade"), "node")
+    own = sums.select("snv_id", "node", "n", "v").join(snv_node.select("snv_id", F.col("node").alias("clade")), "snv_id").join(down, ["clade", "node"])
+    f = own.groupBy(F.col("clade").alias("node"), "snv_id").agg(F.try_divide(F.sum("v").cast("double"), F.sum("n").cast("double")).alias("f"))
     f = snv_node.select("node", "snv_id").join(f, ["node", "snv_id"], "left")
     cut = f.groupBy("node").agg(F.percentile("f", F.lit(q)).alias("cut"))
     return f.join(cut, "node").where("f is null or f <= cut").select("node", "snv_id")
@@ -37,20 +50,25 @@ def cell_scores(facts: DataFrame, edges: DataFrame, snv_node: DataFrame, cells:
     busy = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")).where("n > 1")
     open_ = tree.nodes(edges).join(busy, "node", "left_anti")
     mine = facts.join(cells.select("cell_id"), "cell_id", "left_semi")
-    base = cells.select("cell_id").join(mine.groupBy("cell_id").agg(F.sum("ll0").alias("base")), "cell_id", "left").na.fill(0.0)
-    here = tree.presence(edges, snv_node, "snv_id").join(open_, "node", "left_semi")
-    more = mine.join(here, "snv_id").groupBy("cell_id", "node").agg(F.sum(F.col("ll1") - F.col("ll0")).alias("more"))
+    sums = mine.join(snv_node.select("snv_id", "node"), "snv_id", "left").groupBy("cell_id", "node").agg(F.sum("ll0").alias("ll0"), F.sum(F.col("ll1") - F.col("ll0")).alias("more"))
+    base = cells.select("cell_id").join(sums.groupBy("cell_id").agg(F.sum("ll0").alias("base")), "cell_id", "left").na.fill(0.0)
+    down = tree.closure(edges, itself=True).join(open_, "node", "left_semi")
+    more = sums.join(down.select(F.col("anc"), F.col("node").alias("at")), F.col("node") == F.col("anc")).groupBy("cell_id", F.col("at").alias("node")).agg(F.sum("more").alias("more"))
     every = base.crossJoin(F.broadcast(open_))  # cells x nodes of the tree
     return every.join(more, ["cell_id", "node"], "left").select("cell_id", "node", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def snv_scores(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snvs: DataFrame) -> DataFrame:
     """(snv_id, node, score) at all nodes: ll1 over the node's clade and ll0 over the other cells of the tree."""
-    mine = facts.join(snvs.select("snv_id"), "snv_id", "left_semi").join(cell_node.select("cell_id"), "cell_id", "left_semi")
+    return _snv_scores(sums_by_node(facts, cell_node), edges, snvs)
+
+
+def _snv_scores(sums: DataFrame, edges: DataFrame, snvs: DataFrame) -> DataFrame:
+    mine = sums.join(snvs.select("snv_id"), "snv_id", "left_semi")
     base = snvs.select("snv_id").join(mine.groupBy("snv_id").agg(F.sum("ll0").alias("base")), "snv_id", "left").na.fill(0.0)
-    clade = tree.clade_members(edges, cell_node, "cell_id")
-    more = mine.join(clade, "cell_id").groupBy("snv_id", "node").agg(F.sum(F.col("ll1") - F.col("ll0")).alias("more"))
-    every = base.crossJoin(F.broadcast(tree.nodes(edges)))
+    down = tree.closure(edges, itself=True)
+    more = mine.join(down, "node").groupBy("snv_id", F.col("anc").alias("node")).agg(F.sum("more").alias("more"))
+    every = base.crossJoin(F.broadcast(tree.nodes(edges)))  # SNVs x nodes of the tree
     return every.join(more, ["snv_id", "node"], "left").select("snv_id", "node", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
@@ -65,25 +83,42 @@ def best_nodes(scores: DataFrame, ident: str, current: DataFrame | None = None)
     return scores.groupBy(ident).agg(best.alias("node"))
 
 
-def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, q: float = 0.1, store=None) -> tuple[DataFrame, DataFrame]:
-    """Place what is missing, cells and then SNVs, and reassign the bad SNVs of every node but the root, children first.
+def _loglik(sums: DataFrame, edges: DataFrame, snv_node: DataFrame) -> float:
+    """Variant likelihood of the whole tree, to 9 decimals."""
+    here = tree.presence(edges, snv_node, "snv_id").withColumn("here", F.lit(True))
+    each = sums.join(here, ["node", "snv_id"], "left")
+    return each.agg(F.round(F.sum(F.col("ll0") + F.when(F.col("here"), F.col("more")).otherwise(0.0)), 9)).first()[0] or 0.0
+
+
+def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, q: float = 0.1, iterations: int = 1, store=None) -> tuple[DataFrame, DataFrame]:
+    """Place what is missing, cells and then SNVs, and reassign the bad SNVs of the nodes, children first.
 
-    Within a node all bad SNVs move at once, which is what moving them one by one gives: the clades are fixed. `store`
-    writes a table and reads it back, to cut the lineage between nodes.
+    In each iteration the nodes but the root are taken in postorder; all bad SNVs of a node move at once, which is what
+    moving them one by one gives, since the clades are fixed. An iteration ends at the first node that leaves the likelihood
+    as it was. Facts are read twice, to place cells and to sum up by the nodes of cells; the rest works on the sums. `store`
+    writes a table and reads it back.
     """
     from ..storage import keep
 
     store = store or keep
     cells, snvs = facts.select("cell_id").distinct(), facts.select("snv_id").distinct()
-    lost = unplaced(cells, cell_node, "cell_id")
+    lost = store(unplaced(cells, cell_node, "cell_id"))
     cell_node = store(cell_node.select("cell_id", "node").union(best_nodes(cell_scores(facts, edges, snv_node, lost), "cell_id").select("cell_id", "node")))
-    lost = unplaced(snvs, snv_node, "snv_id")
-    snv_node = store(snv_node.select("snv_id", "node").union(best_nodes(snv_scores(facts, edges, cell_node, lost), "snv_id").select("snv_id", "node")))
+    sums = store(sums_by_node(facts, cell_node))
+    lost = store(unplaced(snvs, snv_node, "snv_id"))
+    snv_node = store(snv_node.select("snv_id", "node").union(best_nodes(_snv_scores(sums, edges, lost), "snv_id").select("snv_id", "node")))
+    edges = store(edges)
     top = tree.roots(edges)
     order = [r["node"] for r in tree.postorder(edges).join(top, "node", "left_anti").orderBy("place").collect()]  # nodes of a tree
-    for node in order:
-        bad = store(bad_snvs(facts, edges, cell_node, snv_node.where(F.col("node") == node), q))
-        to = best_nodes(snv_scores(facts, edges, cell_node, bad), "snv_id")
-        kept = snv_node.join(bad.select("snv_id"), "snv_id", "left_anti")
-        snv_node = store(kept.select("snv_id", "node").union(to.select("snv_id", "node")))
+    before = _loglik(sums, edges, snv_node)
+    for _ in range(iterations):
+        for node in order:
+            bad = store(_bad_snvs(sums, edges, snv_node.where(F.col("node") == node), q))
+            to = best_nodes(_snv_scores(sums, edges, bad), "snv_id", bad)
+            kept = snv_node.join(bad.select("snv_id"), "snv_id", "left_anti")
+            snv_node = store(kept.select("snv_id", "node").union(to.select("snv_id", "node")))
+            after = _loglik(sums, edges, snv_node)
+            if after == before:
+                break
+            before = after
     return cell_node, snv_node

@@ -13,13 +13,12 @@ from . import tree
 def variant_by_node(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     """(node, variant): over all SNVs of the data; an SNV on the node's path or gained there counts as present.
 
-    All pairs of a node add ll0 in one sum; the present ones add the difference.
+    One pass over the facts: what is present is a small table beside them.
     """
     at = facts.join(cell_node.select("cell_id", "node"), "cell_id")
-    base = at.groupBy("node").agg(F.sum("ll0").alias("base"))
-    here = tree.presence(edges, snv_node, "snv_id", lost)
-    more = at.join(here, ["node", "snv_id"]).groupBy("node").agg(F.sum(F.col("ll1") - F.col("ll0")).alias("more"))
-    return base.join(more, "node", "left").select("node", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("variant"))
+    here = tree.presence(edges, snv_node, "snv_id", lost).withColumn("here", F.lit(True))
+    each = at.join(here, ["node", "snv_id"], "left")
+    return each.groupBy("node").agg(F.sum(F.when(F.col("here"), F.col("ll1")).otherwise(F.col("ll0"))).alias("variant"))
 
 
 def depth_by_node(embedding: DataFrame, cell_node: DataFrame) -> DataFrame:
@@ -47,19 +46,26 @@ def tree_loglik(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_no
 
 
 def trees_loglik(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, embedding: DataFrame | None = None) -> DataFrame:
-    """(tree_id, loglik, norm) for all candidate trees in one job; every table carries tree_id."""
+    """(tree_id, loglik, norm) for all candidate trees in one job; every table carries tree_id.
+
+    Cells that all trees treat alike are one class, and so are SNVs. The facts are summed up by pairs of classes once, and
+    trees are scored from these sums, so that facts are not multiplied by the number of trees.
+    """
     spark = edges.sparkSession
+    spark.conf.set(tree.ROWS, "-1")
     edges.createOrReplaceTempView("_forest")
     every = cell_node.select("tree_id", "node").union(snv_node.select("tree_id", "node")).distinct()
     up = spark.sql(
-        "with recursive c(tree_id, anc, node) as (select tree_id, parent, child from _forest union all "
+        f"with recursive c(tree_id, anc, node) {tree.DEEP} as (select tree_id, parent, child from _forest union all "
         "select c.tree_id, c.anc, e.child from c join _forest e on e.tree_id = c.tree_id and e.parent = c.node) select * from c"
     ).union(every.select("tree_id", "node", "node"))
-    here = up.join(snv_node.withColumnRenamed("node", "anc"), ["tree_id", "anc"]).select("tree_id", "node", "snv_id").distinct()
-    at = facts.join(cell_node.select("tree_id", "cell_id", "node"), "cell_id")
-    base = at.groupBy("tree_id", "node").agg(F.sum("ll0").alias("base"))
-    more = at.join(here, ["tree_id", "node", "snv_id"]).groupBy("tree_id", "node").agg(F.sum(F.col("ll1") - F.col("ll0")).alias("more"))
-    by = base.join(more, ["tree_id", "node"], "left").select("tree_id", "node", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    cells, cell_class = _alike(cell_node, "cell_id")
+    snvs, snv_class = _alike(snv_node, "snv_id")
+    # SNVs that no tree has stay without a class and count as absent.
+    sums = facts.join(cells.withColumnRenamed("kind", "ck"), "cell_id").join(snvs.withColumnRenamed("kind", "sk"), "snv_id", "left").groupBy("ck", "sk").agg(F.sum("ll0").alias("ll0"), F.sum("ll1").alias("ll1"))
+    here = up.join(snv_class.withColumnRenamed("node", "anc"), ["tree_id", "anc"]).select("tree_id", "node", F.col("kind").alias("sk"), F.lit(True).alias("here")).distinct()
+    each = sums.join(cell_class.withColumnRenamed("kind", "ck"), "ck").join(here, ["tree_id", "node", "sk"], "left")
+    by = each.groupBy("tree_id", "node").agg(F.sum(F.when(F.col("here"), F.col("ll1")).otherwise(F.col("ll0"))).alias("score"))
     if embedding is not None:
         x = embedding.join(cell_node.select("tree_id", "cell_id", "node"), "cell_id").select("tree_id", "node", F.posexplode("vec").alias("dim", "x"))
         s = x.groupBy("tree_id", "node", "dim").agg(F.count("*").alias("n"), F.var_pop("x").alias("s2"))
@@ -72,6 +78,12 @@ def trees_loglik(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_n
     return total.join(n, "tree_id").join(m, "tree_id").select("tree_id", "loglik", (F.col("loglik") / (F.col("n") * F.col("m"))).alias("norm"))
 
 
+def _alike(owned: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
+    """(id, kind) and (kind, tree_id, node): members that are at the same nodes of all trees have one kind."""
+    kinds = owned.groupBy(ident).agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("tree_id", "node")))).alias("kind"))
+    return kinds, owned.join(kinds, ident).select("kind", "tree_id", "node").distinct()
+
+
 def linear_norm(parts: DataFrame) -> DataFrame:
     """parts: facts with cp in A, B and sp in A, B. ll0 of cells A at SNVs B, ll1 of all cells at SNVs A, over observations."""
     return _norm(parts, F.when((F.col("cp") == "A") & (F.col("sp") == "B"), F.col("ll0")).when(F.col("sp") == "A", F.col("ll1")))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Recursive queries over trees: as deep as the tree, and as many rows as its closure has.
+DEEP, ROWS = "max recursion level 1000000", "spark.sql.cteRecursionRowLimit"
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
 
@@ -24,9 +28,10 @@ def closure(edges: DataFrame, itself: bool = False) -> DataFrame:
     A recursive query: tree tables are metadata, a few rows for each node.
     """
     spark = edges.sparkSession
+    spark.conf.set(ROWS, "-1")
     edges.createOrReplaceTempView("_tree_edges")
     out = spark.sql(
-        "with recursive c(anc, node, depth) as (select parent, child, 1 from _tree_edges union all "
+        f"with recursive c(anc, node, depth) {DEEP} as (select parent, child, 1 from _tree_edges union all "
         "select c.anc, e.child, c.depth + 1 from c join _tree_edges e on e.parent = c.node) select anc, node, depth from c"
     )
     return out.union(nodes(edges).select("node", "node", F.lit(0))) if itself else out
@@ -35,10 +40,11 @@ def closure(edges: DataFrame, itself: bool = False) -> DataFrame:
 def paths(edges: DataFrame) -> DataFrame:
     """(node, path): child positions from the root, which order nodes in preorder."""
     spark = edges.sparkSession
+    spark.conf.set(ROWS, "-1")
     edges.createOrReplaceTempView("_tree_edges")
     roots(edges).createOrReplaceTempView("_tree_roots")
     return spark.sql(
-        "with recursive p(node, path) as (select node, array(node) from _tree_roots union all "
+        f"with recursive p(node, path) {DEEP} as (select node, array(node) from _tree_roots union all "
         "select e.child, concat(p.path, array(e.child)) from p join _tree_edges e on e.parent = p.node) select node, path from p"
     )
 
@@ -102,13 +108,17 @@ def ancestor_pairs(edges: DataFrame, owned: DataFrame, ident: str, lost: DataFra
     return closure(edges).join(x, "anc").join(y, "node").select("id1", "id2")
 
 
-def cluster_pairs(owned: DataFrame, ident: str) -> DataFrame:
+def cluster_pairs(owned: DataFrame, ident: str, lost: DataFrame | None = None) -> DataFrame:
+    if lost is not None:
+        raise NotImplementedError("pairs with losses are not defined")
     x = owned.select("node", F.col(ident).alias("id1"))
     y = owned.select("node", F.col(ident).alias("id2"))
     return x.join(y, "node").where("id1 < id2").select("id1", "id2")
 
 
-def incomparable_pairs(edges: DataFrame, owned: DataFrame, ident: str) -> DataFrame:
+def incomparable_pairs(edges: DataFrame, owned: DataFrame, ident: str, lost: DataFrame | None = None) -> DataFrame:
+    if lost is not None:
+        raise NotImplementedError("pairs with losses are not defined")
     x = owned.select(F.col("node").alias("a"), F.col(ident).alias("x"))
     y = owned.select(F.col("node").alias("b"), F.col(ident).alias("y"))
     return incomparable_nodes(edges).join(x, "a").join(y, "b").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import relations as R
+from ..functions.uniform import uniform_sql
 from ..operators import bipartition
 from ..search import split, starts, trees
 from ..sources import files
@@ -64,22 +65,36 @@ def t6(s, d):
     return split.chain_nodes([part(1), part(2), part(4)], "cell_id")
 
 
-@query("t10_seed_lookup", W("cells") + "select count(*) filter (a = b) hits, count(*) n from (values (1, 1), (1, 2)) t(a, b)")
+_SEEDS = {"all": "true", "even": "cell_id % 2 = 0", "twos": "cell_id & 1 = 0", "late": "cell_id > 3", "fours": "cell_id % 4 = 0"}
+
+
+@query(
+    "t10_seed_lookup",
+    W("cells") + ", seed as (" + " union all ".join(f"select '{n}' name, cell_id from cells where {w}" for n, w in _SEEDS.items()) + "), k as (select name, list(cell_id order by cell_id) ids from seed group by 1) "
+    "select a.name a, b.name b, a.ids = b.ids same from k a, k b where a.name < b.name",
+)
 def t10(s, d):
-    one = lambda desc: trees.Seed(R.cells(s, d).orderBy(F.desc("cell_id") if desc else "cell_id"), R.snvs(s, d))
-    same, other = one(False).key() == one(True).key(), one(False).key() == trees.Seed(R.cells(s, d).where("cell_id > 3"), R.snvs(s, d)).key()
-    return s.createDataFrame([(int(same) + int(other), 2)], "hits long, n long")
+    """Which of several seeds have the same key. Cells come in another order each time."""
+    snvs = R.snvs(s, d)
+    keys = {n: trees.Seed(R.cells(s, d).where(w).orderBy(F.xxhash64("cell_id", F.lit(n))), snvs).key() for n, w in _SEEDS.items()}
+    return s.createDataFrame([(a, b, keys[a] == keys[b]) for a in keys for b in keys if a < b], "a string, b string, same boolean")
 
 
-@query("t17_tree_list", "select 3 total, 2 size, true known, 1 place")
+@query(
+    "t17_tree_list",
+    W("cells") + f", c as {_C}, n as (select count(*) n from cells) "
+    "select 0 place, 3 total, true known, 1 node, (select n from c where p = 0) cells union all select 0, 3, true, 2, (select n from c where p = 1) union all select 0, 3, true, 0, 0 union all select 1, 3, true, 0, n from n",
+)
 def t17(s, d):
+    """What is left of a list of three trees, the first taken, and whether each is known by its form."""
     c, m = _cp(s, d), _sp(s, d)
     items = trees.TreeList()
-    made = [trees.linear_tree(c, m), trees.branching_tree(c, m), trees.identity_tree(c, m)]
-    for t in made:
+    for t in (trees.linear_tree(c, m), trees.branching_tree(c, m), trees.identity_tree(c, m)):
         items.insert(t)
     items.pop()
-    return s.createDataFrame([(items.total, len(items), items.contains(made[1]), items.index(made[2]))], "total int, size int, known boolean, place int")
+    again = trees.branching_tree(c, m), trees.identity_tree(c, m)
+    rows = [(items.index(t), items.total, items.contains(t), node, n) for t in again for node, n in t.ncells.items()]
+    return s.createDataFrame(rows, "place int, total int, known boolean, node int, cells long")
 
 
 @query("t11_grown_trees")
@@ -98,10 +113,10 @@ def t11(s, d):
     return s.createDataFrame([(i, len(t.ncells), len(t.edges)) for i, t in enumerate(grown)], "tree_id int, nodes int, edges int")
 
 
-@query("r1_thirds_by_start", W("snvs") + "select 1 start_id, count(*) n from snvs union all select 2, count(*) from snvs")
+@query("r1_thirds_by_start", W("snvs") + ", u as (" + " union all ".join(f"select {i} start_id, snv_id, {uniform_sql(7, i, 'snv_id')} u from snvs" for i in (1, 2)) + ") select start_id, snv_id, case when u < 1 / 3e0 then 'A' when u < 2 / 3e0 then 'B' else 'C' end sp from u")
 def r1(s, d):
-    pool = R.snvs(s, d).crossJoin(s.createDataFrame([(1,), (2,)], "start_id int"))
-    return starts.thirds(pool, 7).groupBy("start_id").agg(F.count("*").alias("n"))
+    pool = R.snvs(s, d).crossJoin(F.broadcast(s.createDataFrame([(1,), (2,)], "start_id int")))
+    return starts.thirds(pool, 7)
 
 
 @query("f11_fiedler_cut")
@@ -115,6 +130,7 @@ def f11(s, d):
     return s.createDataFrame([(int(min(labels.sum(), 50 - labels.sum())), stats["k"])], "smaller int, k int")
 
 
-@query("s3_preview", W("cells") + "select 3 n")
+@query("s3_preview", W("reads") + "select * from reads order by cell_id, snv_id limit 3")
 def s3(s, d):
-    return s.createDataFrame([(len(files.preview(R.cells(s, d), 3)),)], "n int")
+    """The first rows, as a caller sees them."""
+    return s.createDataFrame(files.preview(R.reads(s, d).orderBy("cell_id", "snv_id"), 3), "cell_id long, snv_id long, var long, total long")

@@ -27,11 +27,15 @@ def p2(s, d):
     return C.dense_ids(R.reads(s, d), "snv_id", "snv_idx", 16).select("snv_id", F.col("snv_idx").cast("long").alias("snv_idx"))
 
 
-@query("p3_pivot_counts", W("reads") + "select snv_id, " + ", ".join(f"coalesce(max(case when cell_id = {c} then total end), 0) c{c}" for c in range(1, 9)) + " from reads where cell_id between 1 and 8 group by 1")
+@query(
+    "p3_pivot_counts",
+    W("reads") + ", u as (select distinct cell_id from reads), m as (select distinct snv_id from reads) "
+    "select m.snv_id, array_to_string(list(cast(coalesce(total, 0) as bigint) order by u.cell_id), ',') totals from m cross join u left join reads r on r.snv_id = m.snv_id and r.cell_id = u.cell_id group by 1",
+)
 def p3(s, d):
-    r = R.reads(s, d).where("cell_id between 1 and 8")
-    wide = r.groupBy("snv_id").pivot("cell_id", list(range(1, 9))).agg(F.first("total")).na.fill(0)
-    return wide.select("snv_id", *[F.col(str(c)).alias(f"c{c}") for c in range(1, 9)])
+    """One wide row for each SNV: its totals in all cells, in order of cells."""
+    long = R.reads(s, d).select(F.col("snv_id").alias("cell_id"), F.col("cell_id").alias("bin"), F.col("total").alias("n"))
+    return C.bin_vectors(long).select(F.col("cell_id").alias("snv_id"), F.array_join(F.transform("vec", lambda x: x.cast("long").cast("string")), ",").alias("totals"))
 
 
 @query("p4_normalised_bins", W("bins") + "select cell_id, bin, round(n / sum(n) over (partition by cell_id), 9) share from bins")
@@ -69,14 +73,15 @@ def p8(s, d):
     return m.select(F.lit("snv").alias("kind"), F.col("snv_id").alias("id")).union(c.select(F.lit("cell"), "cell_id"))
 
 
-@query("p9_cells_without_reads", W("reads", "cells") + "select cell_id from cells where cell_id not in (select cell_id from reads where snv_id % 97 = 3)")
+@query("p9_cells_without_reads", W("reads") + "select c_custkey cell_id from customer where c_custkey not in (select cell_id from reads)")
 def p9(s, d):
-    return C.without_reads(R.cells(s, d), R.reads(s, d).where("snv_id % 97 = 3"), "cell_id")
+    """Customers stand for a list of cells that is longer than the cells read."""
+    return C.without_reads(table(s, d, "customer").select(F.col("c_custkey").alias("cell_id")), R.reads(s, d), "cell_id")
 
 
-@query("p10_snvs_without_reads", W("reads", "snvs") + "select snv_id from snvs where snv_id not in (select snv_id from reads where cell_id % 10 = 3)")
+@query("p10_snvs_without_reads", W("reads") + "select o_orderkey snv_id from orders where o_orderkey not in (select snv_id from reads)")
 def p10(s, d):
-    return C.without_reads(R.snvs(s, d), R.reads(s, d).where("cell_id % 10 = 3"), "snv_id")
+    return C.without_reads(table(s, d, "orders").select(F.col("o_orderkey").alias("snv_id")), R.reads(s, d), "snv_id")
 
 
 @query("j1_encode", W("reads") + ", i as (select cell_id, row_number() over (order by cell_id) - 1 cell_idx from (select distinct cell_id from reads)) select cell_idx, count(*) n, cast(sum(total) as bigint) total from reads join i using (cell_id) group by 1")
@@ -151,9 +156,10 @@ def a7(s, d):
     return n.agg(F.percentile("n_obs", F.lit(0.75)).alias("q75"), F.percentile("n_obs", F.lit(0.1)).alias("q10"))
 
 
-@query("a8_median", W("reads", "cells") + ", f as (select cell_id, count(*) filter (var > 0) / nullif(count(*) filter (total > 0), 0)::double f from cells left join (select * from reads where snv_id % 31 = 2) using (cell_id) group by 1) select round(median(f), 9) m, count(*) n from f")
+@query("a8_median", W("reads") + ", f as (select c.cell_id, count(*) filter (var > 0) / nullif(count(*) filter (total > 0), 0)::double f from (select c_custkey cell_id from customer) c left join reads using (cell_id) group by 1) select round(median(f), 9) m, count(*) n from f")
 def a8(s, d):
-    f = R.cells(s, d).join(C.fraction_by(R.reads(s, d).where("snv_id % 31 = 2"), "cell_id"), "cell_id", "left")
+    """The fraction of customers that are no cells is undefined and does not move the median."""
+    f = table(s, d, "customer").select(F.col("c_custkey").alias("cell_id")).join(C.fraction_by(R.reads(s, d), "cell_id"), "cell_id", "left")
     return f.agg(F.round(F.median("f"), 9).alias("m"), F.count("*").alias("n"))
 
 
@@ -290,12 +296,12 @@ def o2(s, d):
     return R.bins(s, d).orderBy(F.desc("n"), "cell_id", "bin").limit(1).select("bin", "cell_id", "n")
 
 
-_V = "(select cell_id, vec from embedding where cell_id <= 200)"
+_V = "(select cell_id, vec from embedding)"
 _D = f", v as {_V}, p as (select a.cell_id a, b.cell_id b, list_distance(a.vec, b.vec) d from v a join v b on a.cell_id < b.cell_id)"
 
 
 def _pairs(s, d):
-    return X.distances(R.embedding(s, d).where("cell_id <= 200"))
+    return X.distances(R.embedding(s, d))
 
 
 @query("j5_distances", W("embedding") + _D + " select a, b, round(d, 6) d from p")
@@ -310,7 +316,7 @@ def w5(s, d):
 
 @query("f4_kernel_width", W("embedding") + _D + " select round(0.2e0 * max(d), 9) width from p")
 def f4(s, d):
-    return X.kernel_width(X.square(_pairs(s, d), R.embedding(s, d).where("cell_id <= 200"))).select(F.round("width", 9).alias("width"))
+    return X.kernel_width(X.square(_pairs(s, d), R.embedding(s, d))).select(F.round("width", 9).alias("width"))
 
 
 @query("w4_largest_gap", W("embedding") + ", g as (select cell_id, x, row_number() over (partition by cell_id order by x) place, lead(x) over (partition by cell_id order by x) - x gap from (select cell_id, unnest(vec) x from embedding)) select cell_id, round(arg_max(gap, gap), 9) gap, arg_max(place, gap) place from g where gap is not null group by 1")

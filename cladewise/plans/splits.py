@@ -49,20 +49,16 @@ def l9(s, d):
     return scoring.variant_norm_by_cell(R.loaded(s, d), _sp(s, d)).select("cell_id", F.round("norm", 8).alias("norm"))
 
 
-_F = ", f as (select cell_id, count(*) filter (var > 0 and snv_id % 3 = 0) / nullif(count(*) filter (total > 0 and snv_id % 3 = 0), 0)::double fa, count(*) filter (var > 0 and snv_id % 3 = 1) / nullif(count(*) filter (total > 0 and snv_id % 3 = 1), 0)::double fb from reads where cell_id <= 100 and snv_id % {m} = 1 group by 1)"
+_F = ", f as (select cell_id, count(*) filter (var > 0 and snv_id % 3 = 0) / nullif(count(*) filter (total > 0 and snv_id % 3 = 0), 0)::double fa, count(*) filter (var > 0 and snv_id % 3 = 1) / nullif(count(*) filter (total > 0 and snv_id % 3 = 1), 0)::double fb from reads group by 1)"
 
 
-def _f(s, d, m=1):
-    r = R.reads(s, d).where(f"cell_id <= 100 and snv_id % {m} = {0 if m == 1 else 1}")
+def _f(s, d):
+    """Each cell's burden over the SNVs A and over the SNVs B."""
     part = lambda k: F.try_divide(F.count_if((F.col("snv_id") % 3 == k) & (F.col("var") > 0)).cast("double"), F.count_if((F.col("snv_id") % 3 == k) & (F.col("total") > 0)).cast("double"))
-    return r.groupBy("cell_id").agg(part(0).alias("fa"), part(1).alias("fb"))
+    return R.reads(s, d).groupBy("cell_id").agg(part(0).alias("fa"), part(1).alias("fb"))
 
 
-def _fsql(m=1):
-    return _F.format(m=m) if m > 1 else _F.format(m=1).replace("% 1 = 1", "% 1 = 0")
-
-
-@query("f5_snv_kernel", W("reads") + _fsql() + ", p as (select a.cell_id a, b.cell_id b, abs(a.fb - b.fb) d from f a join f b on a.cell_id < b.cell_id) select a, b, round(exp(-d / (select 0.2e0 * max(d) from p)), 8) w from p")
+@query("f5_snv_kernel", W("reads") + _F + ", p as (select a.cell_id a, b.cell_id b, abs(a.fb - b.fb) d from f a join f b on a.cell_id < b.cell_id) select a, b, round(exp(-d / (select 0.2e0 * max(d) from p)), 8) w from p")
 def f5(s, d):
     return X.affinity(_f(s, d).select("cell_id", "fb"), ["fb"]).select("a", "b", F.round("w", 8).alias("w"))
 
@@ -75,15 +71,15 @@ _COPY = (
 
 
 def _copy(s, d):
-    return X.distances(R.embedding(s, d).where("cell_id <= 100"))
+    return X.distances(R.embedding(s, d))
 
 
-@query("f6_copy_kernel_branching", W("reads", "embedding") + _fsql() + _COPY.format(op=">="))
+@query("f6_copy_kernel_branching", W("reads", "embedding") + _F + _COPY.format(op=">="))
 def f6(s, d):
     return X.affinity(_f(s, d), ["fa", "fb"], _copy(s, d), radius=0.5).select("a", "b", F.round("w", 8).alias("w"))
 
 
-@query("f6_copy_kernel_linear", W("reads", "embedding") + _fsql() + _COPY.format(op=">"))
+@query("f6_copy_kernel_linear", W("reads", "embedding") + _F + _COPY.format(op=">"))
 def f6l(s, d):
     return X.affinity(_f(s, d), ["fa", "fb"], _copy(s, d), radius=0.5, strict=True).select("a", "b", F.round("w", 8).alias("w"))
 
@@ -95,17 +91,17 @@ def _gaps(s, d):
     return _f(s, d).select("cell_id", F.when(F.col("cell_id") % 10 != 3, F.col("fa")).alias("fa"), "fb")
 
 
-@query("j6_nearest_donor", W("reads", "embedding") + _fsql() + _GAPS + " select cell_id, donor from best")
+@query("j6_nearest_donor", W("reads", "embedding") + _F + _GAPS + " select cell_id, donor from best")
 def j6(s, d):
     return X.nearest_donor(_copy(s, d), _gaps(s, d), ["fa", "fb"])
 
 
-@query("f9_imputed", W("reads", "embedding") + _fsql() + _GAPS + " select g.cell_id, round(case when donor is null then g.fa else h.fa end, 9) fa, round(case when donor is null then g.fb else h.fb end, 9) fb from g left join best using (cell_id) left join g h on h.cell_id = donor")
+@query("f9_imputed", W("reads", "embedding") + _F + _GAPS + " select g.cell_id, round(case when donor is null then g.fa else h.fa end, 9) fa, round(case when donor is null then g.fb else h.fb end, 9) fb from g left join best using (cell_id) left join g h on h.cell_id = donor")
 def f9(s, d):
     return X.impute(_gaps(s, d), _copy(s, d), ["fa", "fb"]).select("cell_id", F.round("fa", 9).alias("fa"), F.round("fb", 9).alias("fb"))
 
 
-@query("f9_not_imputed", W("reads") + _fsql() + " select cell_id, cast(null as double) fa, round(fb, 9) fb from f")
+@query("f9_not_imputed", W("reads") + _F + " select cell_id, cast(null as double) fa, round(fb, 9) fb from f")
 def f9n(s, d):
     mostly = _f(s, d).select("cell_id", F.lit(None).cast("double").alias("fa"), "fb")
     return X.impute(mostly, _copy(s, d), ["fa", "fb"]).select("cell_id", "fa", F.round("fb", 9).alias("fb"))
@@ -145,7 +141,7 @@ def f13(s, d):
     return assign.orient_linear(R.reads(s, d), _k(s, d), _sp(s, d).where("sp = 'B'"))
 
 
-@query("f14_orient_branching", W("reads", "cells") + _fsql() + f", m as (select avg(fa) filter (k = 0) > avg(fb) filter (k = 0) ok from f join {_K} using (cell_id)) select cell_id, case when (k = 0) = ok then 'A' else 'B' end cp from {_K}, m")
+@query("f14_orient_branching", W("reads", "cells") + _F + f", m as (select avg(fa) filter (k = 0) > avg(fb) filter (k = 0) ok from f join {_K} using (cell_id)) select cell_id, case when (k = 0) = ok then 'A' else 'B' end cp from {_K}, m")
 def f14(s, d):
     return assign.orient_branching(_f(s, d), _k(s, d))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import relations as R
 from ..operators import scoring, tree
 from ..sources import files
+from ..storage import new_folder
 from ..streaming import ingest
 from .registry import query
 
@@ -14,11 +15,7 @@ W = R.with_sql
 
 
 def _folder(s) -> str:
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return new_folder(s, "files")
 
 
 @query("s1_variant_file", W("reads") + "select 'chr' || cast(snv_id % 22 + 1 as varchar) chr, cast(snv_id as varchar) mutation_id, cast(cell_id as varchar) cell_id, 'A' base, var, total from reads")
@@ -73,14 +70,26 @@ def k5(s, d):
     return s.read.option("header", True).schema("cell long, v1 double, v2 double").csv(at).select("cell", F.round("v1", 6).alias("v1"), F.round("v2", 6).alias("v2"))
 
 
-@query("k6_tree_snapshot", W("edges", "cell_node", "snv_node") + "select (select count(*) from edges) n_edges, (select count(*) from cell_node) n_cells, (select cast(sum(snv_id * (node + 1)) as bigint) from snv_node) snv_sum")
+@query("k6_tree_snapshot", W("edges", "cell_node", "snv_node") + "select 'edge' kind, cast(parent as bigint) id, child node from edges union all select 'cell', cell_id, node from cell_node union all select 'snv', snv_id, node from snv_node")
 def k6(s, d):
     files.save_tree(at := _folder(s), R.edges(s), R.cell_node(s, d), R.snv_node(s, d))
     e, c, m = files.load_tree(s, at)
-    return e.agg(F.count("*").alias("n_edges")).crossJoin(c.agg(F.count("*").alias("n_cells"))).crossJoin(m.agg(F.sum(F.col("snv_id") * (F.col("node") + 1)).alias("snv_sum")))
+    rows = e.select(F.lit("edge").alias("kind"), F.col("parent").cast("long").alias("id"), F.col("child").alias("node"))
+    return rows.union(c.select(F.lit("cell"), "cell_id", "node")).union(m.select(F.lit("snv"), "snv_id", "node"))
+
+
+_NODE = "n.node || chr(92) || 'ncells: ' || (select count(*) from cell_node c where c.node = n.node) || chr(92) || 'nSNVs: ' || (select count(*) from snv_node s where s.node = n.node)"
+_LINES = (
+    "select 0 part, 0 node, 0 \"to\", 'digraph T {{ label=\"{label}\";' line union all select 1, n.node, 0, '  ' || n.node || ' [label=\"' || " + _NODE + " || {more} || '\"];' from nodes n {join} "
+    "union all select 2, parent, child, '  ' || parent || ' -> ' || child || ';' from edges union all select 3, 0, 0, '}}'"
+)
+_BYNODE = (
+    ", pres as (select c.node, s.snv_id from (select anc, node from closure union select node, node from nodes) c join snv_node s on s.node = c.anc), "
+    "v as (select c.node, sum(case when p.snv_id is null then ll0 else ll1 end) v from lik join cell_node c using (cell_id) left join pres p on p.node = c.node and p.snv_id = lik.snv_id group by 1) "
+)
 
 
-@query("k7_dot")
+@query("k7_dot", W("lik", "closure", "nodes", "cell_node", "snv_node") + _BYNODE + _LINES.format(label="tree", more="chr(92) || 'n' || format('{:,.2f}', v)", join="left join v using (node)"))
 def k7(s, d):
     scores = scoring.variant_by_node(R.loaded(s, d), R.edges(s), R.cell_node(s, d), R.snv_node(s, d)).withColumnRenamed("variant", "score")
     return files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d), scores, label="tree").select("ord.part", "ord.node", "ord.to", "line")
@@ -93,22 +102,34 @@ def g23(s, d):
     return lines.select("ord.node", F.concat_ws("|", part(1), part(2), part(3)).alias("label"))
 
 
-@query("k8_candidate_dots")
-def k8(s, d):
-    one = files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d))
-    both = one.withColumn("tree_id", F.lit(0)).union(one.withColumn("tree_id", F.lit(1)))
-    files.candidate_dots(both, at := _folder(s))
-    return s.read.text(at).groupBy("tree_id").agg(F.count("*").alias("lines"))
+_ONE = W("closure", "nodes", "cell_node", "snv_node") + ", five as (" + _LINES.format(label="", more="''", join="") + "), two as (select 0 part, 0 node, 0 \"to\", 'digraph T { label=\"\";' line union all "
+_TWO = "select 1, p, 0, '  ' || p || ' [label=\"' || p || chr(92) || 'ncells: ' || (select count(*) from cell_node where cell_id % 2 = p) || chr(92) || 'nSNVs: ' || (select count(*) from snv_node where snv_id % 2 = p) || '\"];' from (values (0), (1)) t(p) union all select 2, 0, 1, '  0 -> 1;' union all select 3, 0, 0, '}') "
 
 
-@query("k9_results", W("cell_node", "snv_node") + "select 'cells' name, count(*) n from cell_node union all select 'snvs', count(*) from snv_node union all select 'losses', 0 union all select 'events', 5")
+@query("k8_candidate_dots", _ONE + _TWO + "select 0 tree_id, line from five union all select 1, line from two")
+def k8(s, d):
+    """The texts of two candidate trees, each in its folder."""
+    five = files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d))
+    by = lambda df, c: df.select(c, (F.col(c) % 2).cast("int").alias("node"))
+    two = files.dot_lines(s.createDataFrame([(0, 1)], "parent int, child int"), by(R.cells(s, d), "cell_id"), by(R.snvs(s, d), "snv_id"))
+    files.candidate_dots(five.withColumn("tree_id", F.lit(0)).union(two.withColumn("tree_id", F.lit(1))), at := _folder(s))
+    return s.read.text(at).select("tree_id", F.col("value").alias("line"))
+
+
+@query(
+    "k9_results",
+    W("cell_node", "snv_node", "nodes") + "select 'cells' name, cell_id id, cast(node as varchar) what from cell_node union all select 'snvs', snv_id, cast(node as varchar) from snv_node "
+    "union all select 'losses', snv_id, '1' from snv_node where snv_id % 7 = 0 union all select 'events', node, case when node % 2 = 0 then 'gain' else 'loss' end from nodes",
+)
 def k9(s, d):
-    lost = R.snv_node(s, d).where("false")
-    events = tree.nodes(R.edges(s)).withColumn("state", F.lit("gain"))
+    lost = R.snv_node(s, d).where("snv_id % 7 = 0").withColumn("node", F.lit(1))
+    events = tree.nodes(R.edges(s)).withColumn("state", F.when(F.col("node") % 2 == 0, "gain").otherwise("loss"))
     files.save_results(at := _folder(s), R.cell_node(s, d), R.snv_node(s, d), lost, events)
-    out = [s.read.option("header", True).csv(f"{at}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("cells", "snvs", "events")]
-    none = lost.agg(F.count("*").alias("n")).select(F.lit("losses").alias("name"), "n")
-    return out[0].union(out[1]).union(out[2]).union(none)
+    back = None
+    for name, ident, what in (("cells", "cell_id", "node"), ("snvs", "snv_id", "node"), ("losses", "snv_id", "node"), ("events", "node", "state")):
+        one = s.read.option("header", True).csv(f"{at}/{name}").select(F.lit(name).alias("name"), F.col(ident).cast("long").alias("id"), F.col(what).alias("what"))
+        back = one if back is None else back.union(one)
+    return back
 
 
 @query("x1_streamed_reads", W("reads") + "select * from reads")

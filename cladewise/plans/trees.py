@@ -82,9 +82,9 @@ def g9(s, d):
     return tree.ancestor_pairs(R.edges(s), R.cell_node(s, d), "cell_id")
 
 
-@query("g9_snv_ancestor_pairs", W("closure", "snv_node") + "select x.snv_id id1, y.snv_id id2 from closure c join snv_node x on x.node = c.anc join snv_node y on y.node = c.node where x.snv_id <= 300 and y.snv_id <= 300")
+@query("g9_snv_ancestor_pairs", W("closure", "snv_node") + "select x.snv_id id1, y.snv_id id2 from closure c join snv_node x on x.node = c.anc join snv_node y on y.node = c.node")
 def g9s(s, d):
-    return tree.ancestor_pairs(R.edges(s), R.snv_node(s, d).where("snv_id <= 300"), "snv_id")
+    return tree.ancestor_pairs(R.edges(s), R.snv_node(s, d), "snv_id")
 
 
 @query("g10_cell_cluster_pairs", W("cell_node") + "select x.cell_id id1, y.cell_id id2 from cell_node x join cell_node y on x.node = y.node and x.cell_id < y.cell_id")
@@ -92,9 +92,9 @@ def g10(s, d):
     return tree.cluster_pairs(R.cell_node(s, d), "cell_id")
 
 
-@query("g10_snv_cluster_pairs", W("snv_node") + "select x.snv_id id1, y.snv_id id2 from snv_node x join snv_node y on x.node = y.node and x.snv_id < y.snv_id where y.snv_id <= 300")
+@query("g10_snv_cluster_pairs", W("snv_node") + "select x.snv_id id1, y.snv_id id2 from snv_node x join snv_node y on x.node = y.node and x.snv_id < y.snv_id")
 def g10s(s, d):
-    return tree.cluster_pairs(R.snv_node(s, d).where("snv_id <= 300"), "snv_id")
+    return tree.cluster_pairs(R.snv_node(s, d), "snv_id")
 
 
 _APART = ", apart as (select a.node a, b.node b from nodes a join nodes b on a.node < b.node where not exists (select 1 from closure c where (c.anc = a.node and c.node = b.node) or (c.anc = b.node and c.node = a.node)))"
@@ -105,9 +105,9 @@ def g11(s, d):
     return tree.incomparable_pairs(R.edges(s), R.cell_node(s, d), "cell_id")
 
 
-@query("g11_snv_incomparable_pairs", W("closure", "nodes", "snv_node") + _APART + "select least(x.snv_id, y.snv_id) id1, greatest(x.snv_id, y.snv_id) id2 from apart join snv_node x on x.node = a join snv_node y on y.node = b where x.snv_id <= 300 and y.snv_id <= 300")
+@query("g11_snv_incomparable_pairs", W("closure", "nodes", "snv_node") + _APART + "select least(x.snv_id, y.snv_id) id1, greatest(x.snv_id, y.snv_id) id2 from apart join snv_node x on x.node = a join snv_node y on y.node = b")
 def g11s(s, d):
-    return tree.incomparable_pairs(R.edges(s), R.snv_node(s, d).where("snv_id <= 300"), "snv_id")
+    return tree.incomparable_pairs(R.edges(s), R.snv_node(s, d), "snv_id")
 
 
 @query("g12_incomparable_nodes", W("closure", "nodes") + _APART + "select a, b from apart")
@@ -166,11 +166,11 @@ def g18(s, d):
 @query(
     "g19_reassigned_cells",
     W("lik", "closure", "nodes", "snv_node") + _PRES + ", o as (select node from nodes where node not in (select parent from edges group by 1 having count(*) > 1)), "
-    "sc as (select l.cell_id, o.node, sum(case when p.snv_id is null then ll0 else ll1 end) s from lik l cross join o left join pres p on p.node = o.node and p.snv_id = l.snv_id where l.cell_id <= 40 group by 1, 2) "
+    "sc as (select l.cell_id, o.node, sum(case when p.snv_id is null then ll0 else ll1 end) s from lik l cross join o left join pres p on p.node = o.node and p.snv_id = l.snv_id group by 1, 2) "
     "select cell_id, node from (select *, row_number() over (partition by cell_id order by round(s, 9) desc, node) r from sc) where r = 1",
 )
 def g19(s, d):
-    scores = refine.cell_scores(R.loaded(s, d), R.edges(s), R.snv_node(s, d), R.cells(s, d).where("cell_id <= 40"))
+    scores = refine.cell_scores(R.loaded(s, d), R.edges(s), R.snv_node(s, d), R.cells(s, d))
     return refine.best_nodes(scores, "cell_id")
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "cladewise") -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -19,8 +20,12 @@ def local_session(cpus: int | None = None, name: str = "cladewise") -> SparkSess
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine, so a local folder is shared
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch for removing an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def keep(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write and read back under spark.checkpoint.dir; a local folder only where that is unset."""
-    spark = df.sparkSession
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the session names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share when the session is built")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df and read it back; the shuffle files of the write go at once."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
