@@ -114,7 +114,7 @@ def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_n
     for _ in range(iterations):
         for node in order:
             bad = store(_bad_snvs(sums, edges, snv_node.where(F.col("node") == node), q))
-            to = best_nodes(_snv_scores(sums, edges, bad), "snv_id", bad)
+            to = best_nodes(_snv_scores(sums, edges, bad), "snv_id")
             kept = snv_node.join(bad.select("snv_id"), "snv_id", "left_anti")
             snv_node = store(kept.select("snv_id", "node").union(to.select("snv_id", "node")))
             after = _loglik(sums, edges, snv_node)

@@ -84,19 +84,30 @@ def _alike(owned: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
     return kinds, owned.join(kinds, ident).select("kind", "tree_id", "node").distinct()
 
 
-def linear_norm(parts: DataFrame) -> DataFrame:
-    """parts: facts with cp in A, B and sp in A, B. ll0 of cells A at SNVs B, ll1 of all cells at SNVs A, over observations."""
-    return _norm(parts, F.when((F.col("cp") == "A") & (F.col("sp") == "B"), F.col("ll0")).when(F.col("sp") == "A", F.col("ll1")))
+def linear_term():
+    """ll0 of cells A at SNVs B, ll1 of all cells at SNVs A."""
+    return F.when((F.col("cp") == "A") & (F.col("sp") == "B"), F.col("ll0")).when(F.col("sp") == "A", F.col("ll1"))
 
 
-def branching_norm(parts: DataFrame) -> DataFrame:
-    """sp in A, B, C: SNVs C present in all cells, SNVs A and B absent from the other side's cells."""
+def branching_term():
+    """SNVs C present in all cells, SNVs A and B absent from the other side's cells."""
     other = ((F.col("cp") == "A") & (F.col("sp") == "B")) | ((F.col("cp") == "B") & (F.col("sp") == "A"))
-    return _norm(parts, F.when(F.col("sp") == "C", F.col("ll1")).when(other, F.col("ll0")))
+    return F.when(F.col("sp") == "C", F.col("ll1")).when(other, F.col("ll0"))
+
+
+def norm_of(term):
+    """Likelihood over the observations that count."""
+    return F.try_divide(F.sum(term), F.count_if(term.isNotNull() & (F.col("total") > 0)).cast("double"))
 
 
-def _norm(parts: DataFrame, term) -> DataFrame:
-    return parts.agg(F.try_divide(F.sum(term), F.count_if(term.isNotNull() & (F.col("total") > 0)).cast("double")).alias("norm"))
+def linear_norm(parts: DataFrame) -> DataFrame:
+    """parts: facts with cp in A, B and sp in A, B."""
+    return parts.agg(norm_of(linear_term()).alias("norm"))
+
+
+def branching_norm(parts: DataFrame) -> DataFrame:
+    """sp in A, B, C."""
+    return parts.agg(norm_of(branching_term()).alias("norm"))
 
 
 def variant_norm_by_cell(facts: DataFrame, snv_part: DataFrame) -> DataFrame:

@@ -217,4 +217,4 @@ def t3(s, d):
     facts = with_likelihoods(_planted(s))
     vec = s.range(60).select(F.col("id").alias("cell_id"), F.array((F.col("id") >= 30).cast("double"), F.lit(0.0)).alias("vec"))
     got = split.search("linear", facts, facts.select("cell_id").distinct(), facts.select("snv_id").distinct(), vec, Params(starts=2, iterations=3))
-    return got[1] if got else s.createDataFrame([], "cell_id long, cp string")
+    return got.cells if got else s.createDataFrame([], "cell_id long, cp string")

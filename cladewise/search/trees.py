@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from math import inf
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from ..storage import keep
 from . import split
 
 
+#: Trees that one job scores.
+BATCH = 64
+
+
 def seed_of(node: int, cell_node: DataFrame, snv_node: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cell_node.where(F.col("node") == node).select("cell_id"), snv_node.where(F.col("node") == node).select("snv_id")
 
@@ -31,6 +36,12 @@ class Seed:
     snvs: DataFrame
     linear: Tree | None = None
 
+    def set_linear(self, tree: Tree) -> None:
+        self.linear = tree
+
+    def has_linear(self) -> bool:
+        return self.linear is not None
+
     def key(self) -> tuple:
         """Equal for seeds of the same cells and SNVs, in any order."""
         sums = [df.agg(F.count("*"), F.sum(F.xxhash64(c).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(c))).first() for df, c in ((self.cells, "cell_id"), (self.snvs, "snv_id"))]
@@ -44,6 +55,14 @@ class Tree:
     snv_node: DataFrame
     kind: str = "identity"
     ncells: dict[int, int] = field(default_factory=dict)
+    lost: DataFrame | None = None  # node, snv_id
+    label: str = ""
+
+    def set_key(self, label: str) -> None:
+        self.label = label
+
+    def has_loss(self) -> bool:
+        return self.lost is not None and not self.lost.isEmpty()
 
     def __post_init__(self):
         if not self.ncells:
@@ -85,11 +104,20 @@ def identity_tree(cells: DataFrame, snvs: DataFrame) -> Tree:
     return Tree([], keep(cells.select("cell_id", F.lit(0).alias("node"))), keep(snvs.select("snv_id", F.lit(0).alias("node"))))
 
 
-def chain_tree(chain: list[tuple[float, DataFrame, DataFrame]]) -> Tree:
-    """Nested linear splits as one path."""
-    cells = keep(split.chain_nodes([c.select("cell_id", F.col("cp").alias("part")) for _, c, _ in chain], "cell_id"))
-    snvs = keep(split.chain_nodes([m.select("snv_id", F.col("sp").alias("part")) for _, _, m in chain], "snv_id"))
-    return Tree([(i, i + 1) for i in range(len(chain))], cells, snvs, "linear")
+def chain_trees(chain: list[split.Split]) -> tuple[Tree, list[Seed]]:
+    """The innermost of nested linear splits as a tree, and the seeds that it leaves open, from the inside out.
+
+    Each of these seeds holds what is outside a split's part A. All but the last have their linear tree preset: the next
+    split outwards, whose node 0 is what that has in A more than the one inside.
+    """
+    first = linear_tree(chain[-1].cells, chain[-1].snvs)
+    seeds, tree, inner = [], first, chain[-1]
+    for outer in reversed(chain[:-1]):
+        part = lambda o, i, c, ident: o.join(i.where(F.col(c) == "A").select(ident), ident, "left_anti")
+        preset = linear_tree(part(outer.cells, inner.cells, "cp", "cell_id"), part(outer.snvs, inner.snvs, "sp", "snv_id"))
+        seeds.append(Seed(*seed_of(1, tree.cell_node, tree.snv_node), linear=preset))
+        tree, inner = preset, outer
+    return first, [*seeds, Seed(*seed_of(1, tree.cell_node, tree.snv_node))]
 
 
 def merge(big: Tree, leaf: int, small: Tree) -> Tree:
@@ -145,7 +173,10 @@ class Data:
 
 
 def plant(data: Data, params: Params, min_obs: int) -> tuple[dict[tuple, list[Tree]], tuple]:
-    """Elementary trees for each seed reached from all cells and SNVs, by seed key; and the key of the first seed."""
+    """Elementary trees for each seed reached from all cells and SNVs, by seed key; and the key of the first seed.
+
+    Seeds are taken last in, first out. A seed with a preset linear tree has that one, and only branching is tried.
+    """
     first = Seed(keep(data.facts.select("cell_id").distinct()), keep(data.facts.select("snv_id").distinct()))
     work, memo = [(first, first.key())], {}
     start = work[0][1]
@@ -153,36 +184,34 @@ def plant(data: Data, params: Params, min_obs: int) -> tuple[dict[tuple, list[Tr
         seed, key = work.pop()
         if key in memo:
             continue
-        memo[key] = []
+        memo[key] = [seed.linear] if seed.has_linear() else []
         cells, snvs = counts.strip(data.facts, seed.cells, seed.snvs)
         cells, snvs = keep(cells), keep(snvs)
         mine = keep(counts.block(data.facts, cells, snvs))
         if mine.where("total > 0").count() < min_obs:
             continue
-        found = []
-        if seed.linear is None:
-            chain = split.linear_chain(mine, cells, snvs, data.vec, params, min_obs)
-            if chain:
-                found.append(chain_tree(chain) if len(chain) > 1 else linear_tree(*chain[0][1:]))
-        else:
-            found.append(seed.linear)
-        got = split.search("branching", mine, cells, snvs, data.vec, params)
-        if got:
-            found.append(branching_tree(*got[1:]))
-        memo[key] = found
-        for t in found:
-            for s in t.seeds().values():
-                work.append((s, s.key()))
+        more: list[Seed] = []
+        if not seed.has_linear():
+            if chain := split.linear_chain(mine, cells, snvs, data.vec, params, min_obs):
+                tree, more = chain_trees(chain)
+                seed.set_linear(tree)
+                memo[key].append(tree)
+        if got := split.search("branching", mine, cells, snvs, data.vec, params):
+            tree = branching_tree(got.cells, got.snvs)
+            memo[key].append(tree)
+            more += tree.seeds().values()
+        work += [(s, s.key()) for s in more]
     return memo, start
 
 
-def grow(memo: dict[tuple, list[Tree]], start: tuple, most: int = 500) -> list[Tree]:
-    """All trees that arise by putting elementary trees in the place of leaves, one for each form."""
+def grow(memo: dict[tuple, list[Tree]], start: tuple, most: float = inf) -> list[Tree]:
+    """All trees that arise by putting elementary trees in the place of leaves, one for each form; growing stops once there
+    are more than `most`."""
     every, queue = TreeList(), TreeList()
     for t in memo[start]:
         queue.insert(t)
         every.insert(t)
-    while len(queue) and every.total < most:
+    while len(queue) and every.total <= most:
         t = queue.pop()
         for leaf in t.leaves():
             key = Seed(*seed_of(leaf, t.cell_node, t.snv_node)).key()
@@ -213,7 +242,9 @@ def search(data: Data, params: Params, depth: bool = True) -> tuple[Tree, float
     trees = grow(memo, start)
     if not trees:
         return identity_tree(data.facts.select("cell_id").distinct(), data.facts.select("snv_id").distinct()), None, {}
-    series = {r["tree_id"]: r["norm"] for r in score(trees, data, depth).collect()}
+    series = {}
+    for lo in range(0, len(trees), BATCH):  # a row for each tree
+        series |= {lo + r["tree_id"]: r["norm"] for r in score(trees[lo : lo + BATCH], data, depth).collect()}
     best = max(sorted(series), key=lambda i: series[i])
     tree, norm = trees[best], series[best]
     if params.post_process:
