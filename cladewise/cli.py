@@ -14,25 +14,52 @@ from .search import trees
 from .sources import files
 from .storage import keep
 
+# Names, short forms and defaults of the options of the tool this one stands in for.
+NUMBERS = [
+    ("-a", "--alpha", float, 1e-3, "error rate of a base"),
+    ("-j", "--iterations", int, 50, "turns of a restart at most"),
+    ("-s", "--starts", int, 16, "restarts of a split"),
+    ("-d", "--seed", int, 99059, "seed"),
+    (None, "--radius", float, 1.0, "quantile of the copy distance at which the kernel is cut"),
+    ("-c", "--copies", int, 5, "copies at most"),
+    (None, "--runs", int, 1, "searches, of which the best counts"),
+    ("-g", "--gamma", float, 0.95, "power asked of the number of observations"),
+    (None, "--min_obs", int, 10, "observations wanted in each part"),
+    (None, "--low_cmb", float, 0.05, "burden that parts without an SNV may have at most"),
+    (None, "--high_cmb", float, 0.15, "burden that parts with an SNV must have at least"),
+    (None, "--nobs_per_cluster", int, 3, "median observations that a part must have"),
+]
+OUTPUTS = [
+    ("-n", "--pred_cell", "clusters of cells"),
+    ("-m", "--pred-mut", "clusters of SNVs"),
+    (None, "--tree", "the best tree as DOT text"),
+    (None, "--tree_pickle", "the best tree as a folder of tables"),
+    (None, "--tree_path", "DOT text of all candidate trees, a folder for each"),
+    (None, "--tree_list", "all candidate trees as folders of tables"),
+    (None, "--tree_text", "edges of the best tree"),
+    (None, "--likelihood", "normalised likelihoods of all candidate trees"),
+    (None, "--embedding", "coordinates of the cells"),
+]
+
 
 def options() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="cladewise")
+    p = argparse.ArgumentParser(prog="cladewise", allow_abbrev=False)
     p.add_argument("-f", "--file", required=True, help="variant reads, tab-separated")
     p.add_argument("--bin_count_data", required=True, help="binned reads, a row for each cell")
-    p.add_argument("--keep_first_line", action="store_true", help="the variant file has no header to drop")
-    for short, name, kind, default in (("-a", "alpha", float, 1e-3), ("-c", "copies", int, 5), ("-s", "starts", int, 16), ("-j", "iterations", int, 50), ("-r", "radius", float, 1.0), ("-g", "gamma", float, 0.95), ("-d", "min_obs", int, 10)):
-        p.add_argument(short, f"--{name}", type=kind, default=default)
-    for name, kind, default in (("low_cmb", float, 0.05), ("high_cmb", float, 0.15), ("nobs_per_cluster", int, 3), ("seed", int, 99059), ("runs", int, 1)):
-        p.add_argument(f"--{name}", type=kind, default=default)
-    for name in ("post_process", "no_embedding", "no_copy_kernel", "documented"):
-        p.add_argument(f"--{name}", action="store_true")
-    p.add_argument("--mode", choices=["rd", "var"], default="rd", help="score read depth and variants, or variants only")
-    for short, name in (("-n", "pred_cell"), ("-m", "pred_mut"), ("-t", "tree_text"), ("-T", "tree_snapshot"), ("-D", "tree_dot"), ("-e", "embedding_out"), ("-l", "likelihood_out"), ("-L", "tree_list")):
-        p.add_argument(short, f"--{name}")
+    for short, name, kind, default, text in NUMBERS:
+        p.add_argument(*filter(None, (short, name)), type=kind, default=default, help=text)
+    for short, name, text in OUTPUTS:
+        p.add_argument(*filter(None, (short, name)), help=text)
+    p.add_argument("--post_process", action="store_true", help="refine the best tree")
+    p.add_argument("--no-umap", action="store_true", help="take the bins as coordinates")
+    p.add_argument("--keep_first_line", action="store_true", help="extension: the variant file has no header to drop")
+    p.add_argument("--no_copy_kernel", action="store_true", help="extension: begin without the copy kernel")
+    p.add_argument("--documented", action="store_true", help="extension: behave as documented where the two differ")
+    p.add_argument("--mode", choices=["rd", "var"], default="rd", help="extension: score read depth and variants, or variants only")
     return p
 
 
-def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Tree:
+def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Found:
     o = options().parse_args(argv)
     raw = counts.composite_key(files.read_variants(spark, o.file, not o.keep_first_line))
     bins = files.read_bins(spark, o.bin_count_data).withColumn("cell", F.col("cell_id").cast("string")).drop("cell_id")
@@ -43,26 +70,33 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Tree:
     by_cell = bins.join(cells, "cell", "left").select("cell_id", "bin", "n")
     files.validate(facts, by_cell)
     facts = keep(with_likelihoods(facts, o.alpha, o.copies))
-    vectors = counts.bin_vectors(by_cell) if o.no_embedding else bipartition.pca(counts.bin_vectors(counts.normalised_bins(by_cell), "share"))
+    vectors = counts.bin_vectors(by_cell) if o.no_umap else bipartition.pca(counts.bin_vectors(counts.normalised_bins(by_cell), "share"))
     data = trees.Data(facts, keep(vectors))
     params = Params(o.alpha, o.copies, o.gamma, o.min_obs, o.radius, o.low_cmb, o.high_cmb, o.nobs_per_cluster, o.starts, o.iterations, o.seed, not o.no_copy_kernel, o.post_process, not o.documented)
-    tree, norm, series = trees.best_of_runs(data, params, o.runs, o.mode == "rd")
-    print(f"normalised log-likelihood {norm}, {len(tree.ncells)} nodes")
+    found = trees.best_of_runs(data, params, o.runs, o.mode == "rd")
+    tree = found.tree
+    print(f"normalised log-likelihood {found.norm}, {len(tree.ncells)} nodes")
+    dot = lambda t: files.dot_lines(t.edge_table(), t.cell_node, t.snv_node)
     if o.pred_cell:
         files.write_csv(files.cell_assignment(tree.cell_node, cells), o.pred_cell)
     if o.pred_mut:
         files.write_csv(files.snv_assignment(tree.snv_node, snvs), o.pred_mut)
+    if o.tree:
+        dot(tree).orderBy("ord").select("line").coalesce(1).write.text(o.tree)
+    if o.tree_pickle:
+        files.save_tree(o.tree_pickle, tree.edge_table(), tree.cell_node, tree.snv_node)
+    for i, t in enumerate(found.candidates):
+        if o.tree_path:
+            dot(t).orderBy("ord").select("line").coalesce(1).write.text(f"{o.tree_path}/tree_{i}")
+        if o.tree_list:
+            files.save_tree(f"{o.tree_list}/tree_{i}", t.edge_table(), t.cell_node, t.snv_node)
     if o.tree_text:
         files.write_edges(tree.edge_table(), o.tree_text)
-    if o.tree_snapshot:
-        files.save_tree(o.tree_snapshot, tree.edge_table(), tree.cell_node, tree.snv_node)
-    if o.tree_dot:
-        files.dot_lines(tree.edge_table(), tree.cell_node, tree.snv_node).orderBy("ord").select("line").coalesce(1).write.text(o.tree_dot)
-    if o.embedding_out:
-        files.write_csv(files.embedding_table(data.vec), o.embedding_out)
-    if o.likelihood_out:
-        files.write_csv(spark.createDataFrame(sorted(series.items()), "tree long, likelihood double"), o.likelihood_out)
-    return tree
+    if o.likelihood:
+        files.write_csv(spark.createDataFrame(sorted(found.series.items()), "tree long, likelihood double"), o.likelihood)
+    if o.embedding:
+        files.write_csv(files.embedding_table(data.vec), o.embedding)
+    return found
 
 
 def main() -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep
+from . import bipartition
 from .counts import counts_over, fraction_by
 
 
@@ -35,6 +37,36 @@ def snvs_linear(facts: DataFrame, cells_a: DataFrame, snvs: DataFrame, nobs: int
     return every.crossJoin(F.broadcast(gate)).select("snv_id", F.when(F.col("enough") & (F.round("s0", 9) >= F.round("s1", 9)), "B").otherwise("A").alias("sp"))
 
 
+def snvs_linear_by_state(facts: DataFrame, cells_a: DataFrame, snvs: DataFrame, by_state: DataFrame, snv_bin: DataFrame, bin_state: DataFrame) -> DataFrame:
+    """(snv_id, sp): B where absence is likelier than presence over the cells A, the presence under the state of the SNV's
+    bin in these cells. Bins without a state, and SNVs without a bin, are neutral; an SNV without reads is A.
+
+    by_state: cell_id, snv_id, state, ll; bin_state: bin, state.
+    """
+    states = snvs.select("snv_id").join(snv_bin, "snv_id", "left").join(bin_state, "bin", "left").select("snv_id", F.coalesce("state", F.lit("neutral")).alias("state"))
+    inside = cells_a.select("cell_id")
+    s0 = facts.join(inside, "cell_id", "left_semi").groupBy("snv_id").agg(F.sum("ll0").alias("s0"))
+    s1 = by_state.join(inside, "cell_id", "left_semi").join(states, ["snv_id", "state"]).groupBy("snv_id").agg(F.sum("ll").alias("s1"))
+    every = states.select("snv_id").join(s0, "snv_id", "left").join(s1, "snv_id", "left").na.fill(0.0, ["s0", "s1"])
+    return every.select("snv_id", F.when(F.round("s0", 9) > F.round("s1", 9), "B").otherwise("A").alias("sp"))
+
+
+def cluster_snvs(facts: DataFrame, cells_a: DataFrame, snvs: DataFrame) -> DataFrame:
+    """(snv_id, sp): SNVs cut in two by their variant fraction over the cells A; the cluster with the smaller mean is A.
+
+    SNVs that no cell A observes are left out. Where there is no cut, all are A.
+    """
+    mine = facts.join(cells_a.select("cell_id"), "cell_id", "left_semi").join(snvs.select("snv_id"), "snv_id", "left_semi")
+    f = keep(fraction_by(mine, "snv_id").where("f is not null"), "fractions")
+    graph = f.select(F.col("snv_id").alias("cell_id"), F.array("f").alias("x"), F.lit(None).cast("array<double>").alias("vec"))
+    labels = bipartition.cut_rows(graph)
+    if labels is None:
+        return f.select("snv_id", F.lit("A").alias("sp"))
+    own = f.join(labels.select(F.col("cell_id").alias("snv_id"), "k"), "snv_id")
+    first = own.agg((F.avg(F.when(F.col("k") == 0, F.col("f"))) <= F.avg(F.when(F.col("k") == 1, F.col("f")))).alias("first"))
+    return own.crossJoin(F.broadcast(first)).select("snv_id", F.when((F.col("k") == 0) == F.col("first"), "A").otherwise("B").alias("sp"))  # one row
+
+
 def snvs_branching(facts: DataFrame, cell_part: DataFrame, snvs: DataFrame, nobs: int = 3) -> DataFrame:
     """(snv_id, sp): the likeliest of A (present in cells A only), B (in B only) and C (in both), ties in this order. If on
     either side the upper quartile of observations per SNV is below nobs, all are C."""

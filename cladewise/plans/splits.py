@@ -124,6 +124,12 @@ def f10(s, d):
     return bipartition.bipartition(feats.select(F.lit(0).alias("start_id"), "cell_id"), pairs)
 
 
+@query("f18_snv_clusters")
+def f18(s, d):
+    """SNVs of the whole table cut in two by their variant fraction over the even cells."""
+    return assign.cluster_snvs(R.reads(s, d), R.cells(s, d).where("cell_id % 2 = 0"), R.snvs(s, d))
+
+
 @query("f12_quality_vote", "select *, (jump_pct > 0.5)::int + (first_gap <= 0.5)::int + (k > 1)::int votes, (jump_pct > 0.5)::int + (first_gap <= 0.5)::int + (k > 1)::int >= 2 ok from (values (0.9e0, 0.1e0, 2), (0.2e0, 0.8e0, 1), (0.2e0, 0.1e0, 3)) t(jump_pct, first_gap, k)")
 def f12(s, d):
     return assign.quality_vote(s.createDataFrame([(0.9, 0.1, 2), (0.2, 0.8, 1), (0.2, 0.1, 3)], "jump_pct double, first_gap double, k int"), 0.5, 2)

@@ -7,7 +7,7 @@ from math import log, pi
 from pyspark.sql import functions as F
 
 from .. import relations as R
-from ..operators import cna, tree
+from ..operators import assign, cna, tree
 from ..sources import mappings
 from .registry import query
 
@@ -185,3 +185,17 @@ def l12(s, d):
     snv_bin = R.snvs(s, d).select("snv_id", (23940 + F.col("snv_id") % 83).alias("bin"))
     here = tree.presence(R.edges(s), R.snv_node(s, d), "snv_id")
     return cna.presence_by_state(R.loaded(s, d), R.cell_node(s, d), _bs(s, d), snv_bin, _by(s, d), here).select("node", F.round("variant", 3).alias("variant"))
+
+
+@query(
+    "f17_snvs_by_state",
+    W("lik", "bins", "snvs") + _BY + ", sb as (select snv_id, 23940 + snv_id % 83 bin from snvs where snv_id % 5 > 0), ba as (select distinct bin, case bin % 4 when 0 then 'gain' when 1 then 'loss' end state from bins where bin % 4 < 2), "
+    "st as (select m.snv_id, coalesce(ba.state, 'neutral') state from snvs m left join sb using (snv_id) left join ba on ba.bin = sb.bin), a as (select snv_id, sum(ll0) s0 from lik where cell_id % 2 = 0 group by 1), "
+    "b as (select snv_id, sum(ll) s1 from by_state join st using (snv_id, state) where cell_id % 2 = 0 group by 1) select snv_id, case when round(coalesce(s0, 0), 9) > round(coalesce(s1, 0), 9) then 'B' else 'A' end sp from st left join a using (snv_id) left join b using (snv_id)",
+)
+def f17(s, d):
+    """A fifth of the SNVs have no bin, and half of the bins no state."""
+    snvs = R.snvs(s, d)
+    snv_bin = snvs.where("snv_id % 5 > 0").select("snv_id", (23940 + F.col("snv_id") % 83).alias("bin"))
+    states = R.bins(s, d).where("bin % 4 < 2").select("bin").distinct().select("bin", F.when(F.col("bin") % 4 == 0, "gain").otherwise("loss").alias("state"))
+    return assign.snvs_linear_by_state(R.loaded(s, d), R.cells(s, d).where("cell_id % 2 = 0"), snvs, _by(s, d), snv_bin, states)

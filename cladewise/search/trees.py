@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 from math import inf
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,14 +235,24 @@ def score(trees: list[Tree], data: Data, depth: bool = True) -> DataFrame:
     return scoring.trees_loglik(data.facts, edges, cells, snvs, data.vec if depth else None)
 
 
-def search(data: Data, params: Params, depth: bool = True) -> tuple[Tree, float | None, dict[int, float]]:
-    """Best tree, its normalised likelihood (None for the one-node tree) and the likelihoods of all candidates."""
+class Found(NamedTuple):
+    """The best tree, its normalised likelihood (None for the one-node tree), those of all candidates, and these."""
+
+    tree: Tree
+    norm: float | None
+    series: dict[int, float]
+    candidates: list[Tree]
+
+
+def search(data: Data, params: Params, depth: bool = True) -> Found:
+    """Best of all trees that can be grown from the data."""
     observed = data.facts.where("total > 0").count()
     min_obs = required_observations(6, params.min_obs, params.gamma, observed)
     memo, start = plant(data, params, min_obs)
     trees = grow(memo, start)
     if not trees:
-        return identity_tree(data.facts.select("cell_id").distinct(), data.facts.select("snv_id").distinct()), None, {}
+        only = identity_tree(data.facts.select("cell_id").distinct(), data.facts.select("snv_id").distinct())
+        return Found(only, None, {}, [only])
     series = {}
     for lo in range(0, len(trees), BATCH):  # a row for each tree
         series |= {lo + r["tree_id"]: r["norm"] for r in score(trees[lo : lo + BATCH], data, depth).collect()}
@@ -251,14 +262,14 @@ def search(data: Data, params: Params, depth: bool = True) -> tuple[Tree, float
         cells, snvs = refine.post_process(data.facts, tree.edge_table(), tree.cell_node, tree.snv_node, store=keep)
         tree = Tree(tree.edges, cells, snvs, "refined")
         norm = score([tree], data, depth).first()["norm"]
-    return tree, norm, series
+    return Found(tree, norm, series, trees)
 
 
-def best_of_runs(data: Data, params: Params, runs: int, depth: bool = True) -> tuple[Tree, float | None, dict[int, float]]:
+def best_of_runs(data: Data, params: Params, runs: int, depth: bool = True) -> Found:
     """The best of several searches; run i has seed 100 x seed + i."""
     best = None
     for i in range(runs):
-        got = search(data, params if runs == 1 else params.but(seed=100 * params.seed + i), depth)
-        if best is None or (got[1] is not None and (best[1] is None or got[1] > best[1])):
+        got = search(data, params.but(seed=100 * params.seed + i), depth)
+        if best is None or (got.norm is not None and (best.norm is None or got.norm > best.norm)):
             best = got
     return best
