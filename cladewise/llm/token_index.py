@@ -253,11 +253,56 @@ class WordEncoder:
 # --- over tables ------------------------------------------------------------------------------------------------------
 
 
+class Plan:
+    """Ranges of doc_ids by their upper bounds. A range is one shard, or several if a single doc_id outweighs a shard: its
+    rows are then dealt over as many shards as it takes. A few numbers for each shard."""
+
+    def __init__(self, bounds: list[int], heavy: dict[int, int]):
+        self.bounds = np.array(bounds, np.int64)
+        self.parts = np.ones(len(bounds) + 1, np.int64)
+        for key, n in heavy.items():
+            self.parts[np.searchsorted(self.bounds, key)] = n
+        self.first = np.concatenate([[0], np.cumsum(self.parts)])
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def shard_of(self, keys: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, keys)
+        return (self.first[at] + salt % self.parts[at]).astype(np.int32)
+
+    def shards_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key with every shard that may have it."""
+        at = np.searchsorted(self.bounds, keys)
+        n = self.parts[at]
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(keys, n), (np.repeat(self.first[at], n) + part).astype(np.int32)
+
+
+def plan_shards(rows: DataFrame) -> Plan:
+    """rows: doc_id, text. Bounds follow bytes: a doc_id stands in the quantiles once for every UNIT of its text, a rest by
+    hash."""
+    size = bytes_of("text") + 1
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+    key = F.coalesce("doc_id", F.lit(NULL_KEY))
+    by = rows.groupBy(key.alias("key")).agg(F.sum(size).alias("b")).where(F.col("b") > SHARD_BYTES)
+    heavy = {r["key"]: -(-r["b"] // SHARD_BYTES) for r in by.collect()}  # fewer than shards
+    cuts = [i / shards for i in range(1, shards)]
+    unit = max(1, SHARD_BYTES // 4096)
+    times = F.floor(size / unit) + (F.pmod(F.xxhash64("doc_id", F.lit("rest")), F.lit(unit)) < size % unit).cast("long")
+    weighted = rows.where("doc_id is not null").select("doc_id", times.alias("times")).where("times > 0").select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))) if cuts else rows
+    bounds = set(weighted.agg(F.percentile_approx("doc_id", cuts, 10 * shards + 1000)).first()[0] or []) if cuts else set()
+    for k in heavy:
+        bounds |= {k} if k == NULL_KEY else {k - 1, k}
+    return Plan(sorted(bounds), heavy)
+
+
 class Shards:
-    """Shards in a folder, the doc_id bounds between them, and the manifest (shard, records, tokens)."""
+    """Shards in a folder, the plan of their doc_ids, and the manifest (shard, records, tokens)."""
 
-    def __init__(self, folder: str, bounds: list[int], manifest: DataFrame):
-        self.folder, self.bounds, self.manifest = folder, bounds, manifest
+    def __init__(self, folder: str, plan: Plan, manifest: DataFrame):
+        self.folder, self.plan, self.manifest = folder, plan, manifest
 
     def bases(self) -> DataFrame:
         """Ids in all shards before each; one row per shard."""
@@ -265,10 +310,6 @@ class Shards:
         return self.manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
 
-def _shard_of(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.searchsorted(bounds, keys, side="left").astype(np.int32)
-
-
 def _keys(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(column, NULL_KEY), dtype=np.int64)
 
@@ -276,15 +317,12 @@ def _keys(column: pa.Array) -> np.ndarray:
 def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Shards:
     """Encode whole texts and write shards in ascending doc_id order (nulls first; equal ids adjacent, by text hash).
 
-    Shard bounds are quantiles of doc_id, so shards hold about SHARD_BYTES of text each; an empty table gives no shard.
-    A null text has the end id alone; other columns are ignored.
+    Shards hold about SHARD_BYTES of text each, or one text that is longer; rows of a doc_id that outweighs a shard, null
+    too, are dealt over several. An empty table gives no shard. A null text has the end id alone; repeated rows are records of
+    their own; other columns are ignored, whatever their names.
     """
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = row.agg(F.sum(bytes_of("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    cuts = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(row.agg(F.percentile_approx("doc_id", cuts, 100_000)).first()[0] or [])) if cuts else []
-    limits = np.array(bounds, np.int64)
+    plan = plan_shards(row)
     small_batches(spark)
 
     def encode(batches):
@@ -297,7 +335,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[lo:hi]),
-                        pa.array(_shard_of(keys[lo:hi], limits)),
+                        pa.array(plan.shard_of(keys[lo:hi], np.asarray(batch.column("salt")[lo:hi], np.int64))),
                         batch.column("tie")[lo:hi],
                         pa.array([x.tobytes() for x in parts], pa.binary()),
                     ],
@@ -325,10 +363,11 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
         if keys:
             yield close()
 
-    encoded = row.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "key long, shard int, tie long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "tie")
+    salted = row.withColumn("tie", F.xxhash64("text")).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)))
+    encoded = salted.mapInArrow(encode, "key long, shard int, tie long, ids binary")
+    dealt = encoded.repartitionById(len(plan), F.col("shard")).sortWithinPartitions("shard", "key", "tie")
     written = dealt.select("key", "shard", "ids").mapInArrow(write, "shard int, records long, tokens long")
-    return Shards(folder, bounds, stored(written, "manifest"))
+    return Shards(folder, plan, stored(written, "manifest"))
 
 
 def look_up(shards: Shards, keys: DataFrame) -> DataFrame:
@@ -337,12 +376,12 @@ def look_up(shards: Shards, keys: DataFrame) -> DataFrame:
     Returns a row per record: doc_id, shard, at (place of its first id in the shard), n_tokens, ids_crc32. An id that was
     never written is told by its fingerprint (but for one in 2**32) and gives no row.
     """
-    folder, limits = shards.folder, np.array(shards.bounds, np.int64)
+    folder, plan = shards.folder, shards.plan
 
     def place(batches):
         for batch in batches:
-            k = _keys(batch.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(_shard_of(k, limits))], ["key", "shard"])
+            k, at = plan.shards_of(_keys(batch.column("doc_id")))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at)], ["key", "shard"])
 
     def fetch(shard: int, wanted: list[int]):
         index = ShardIndex(_get(folder, f"shard-{shard:05d}.idx"))
@@ -372,7 +411,7 @@ def look_up(shards: Shards, keys: DataFrame) -> DataFrame:
 
     distinct = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(place, "key long, shard int")
     distinct = distinct.join(shards.manifest.select("shard"), "shard", "left_semi")
-    dealt = distinct.repartitionById(len(limits) + 1, F.col("shard")).sortWithinPartitions("shard").select("key", "shard")
+    dealt = distinct.repartitionById(len(plan), F.col("shard")).sortWithinPartitions("shard").select("key", "shard")
     return dealt.mapInArrow(read, "doc_id long, shard int, at long, n_tokens long, ids_crc32 long")
 
 

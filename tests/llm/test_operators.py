@@ -108,6 +108,17 @@ def test_token_table(spark, odd, monkeypatch):
     starts = sorted((r["start"], r["n_tokens"]) for r in rows_of(token_index.token_table(spark, docs, P.path("word_bpe_49k.json"))))
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert token_index.token_table(spark, docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
+    # one id, or none, for more text than a shard holds
+    for i in (7, None):
+        same = spark.createDataFrame([(i, prose(300, n)) for n in range(60)] + [(8, "x"), (6, "y")], "doc_id long, text string")
+        shards = token_index.write_shards(spark, same, new_folder(spark, "tokens"), P.path("word_bpe_49k.json"))
+        assert shards.manifest.count() > 5 and shards.manifest.agg(F.max("records")).first()[0] < 40
+        got = rows_of(token_index.token_table(spark, same, P.path("word_bpe_49k.json")))
+        want = Counter((k, len(ids), zlib.crc32(ids.tobytes())) for k, t in same.collect() for ids in [np.array([*coder.encode(t, add_special_tokens=False).ids, 1], "<u4")])
+        assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+        got.sort(key=lambda r: r["start"])
+        assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda k: (k is not None, k or 0))
+        assert got[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
 
 
 # --- 4 decontamination
