@@ -230,8 +230,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, long_run: i
 
     An item leaks if windows that count match at least `least` of its windows or of those with enough words, or windows over
     `long_run` of its tokens in a row; coverage is the larger share. Windows with fewer words match word for word only.
-    verbatim tells that all slots kept their values. Null and empty texts leak nothing and items of one word are never leaked; null ids are ordinary values; repeated rows give one result per doc_id and text; other
-    columns are ignored.
+    verbatim tells that all slots kept their values. Null and empty texts leak nothing and items of one word are never
+    leaked; null ids are ordinary values; repeated rows give one result per doc_id and text. Of values that a diagonal gives a
+    slot equally often, each counts (a tie drops nothing). A text is taken whole, however long; empty tables give no rows;
+    other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     items = item_windows(benchmark, window)

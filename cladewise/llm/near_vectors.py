@@ -68,7 +68,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Only vectors of the same
     length are compared. Equal vectors are one class, compared once; each member counts. vec_id may be null or repeat: rows
     are compared as rows, and component_id is the smallest vec_id of the component (null only if all are null). kept is
-    vec_id = component_id. Other columns are ignored.
+    vec_id = component_id. A tie at the threshold itself is a link. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
     spark = vectors.sparkSession
     small_batches(spark)

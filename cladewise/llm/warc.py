@@ -266,7 +266,9 @@ SCHEMA = pa.schema([
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write all pages to archives and read them back: one row per record.
 
-    Empty tables give no archive and no rows. Each writing task closes an archive after ARCHIVE_BYTES of records.
+    Empty tables give no archive and no rows. Each writing task closes an archive after ARCHIVE_BYTES of records; a payload
+    is one record, however long. A null url is an empty one; repeated rows are records of their own; ties for the response
+    are settled as in plan_records(). Other columns are ignored, whatever their names.
     """
     manifest = stored(write_archives(spark, plan_records(pages), folder or new_folder(spark, "warc")), "manifest")
     return read_archives(spark, manifest.select("archive").repartition(max(1, manifest.count())), payload=False)
