@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import relations as R
+from ..config import Params
 from ..functions.uniform import uniform_sql
 from ..operators import bipartition
 from ..search import split, starts, trees
 from ..sources import files
 from .registry import query
+from .splits import planted
 
 W = R.with_sql
 
@@ -113,6 +115,15 @@ def t11(s, d):
     return s.createDataFrame([(i, len(t.ncells), len(t.edges)) for i, t in enumerate(grown)], "tree_id int, nodes int, edges int")
 
 
+@query("t9_tree_search", W("reads") + "select distinct 'cell' kind, cell_id id, cell_id % 3 node from reads union all select distinct 'snv', snv_id, snv_id % 3 from reads")
+def t9(s, d):
+    """Three clones of a path, planted on all cells and SNVs: seeds, elementary and composite trees, the best of them."""
+    facts, vec = planted(s, d, "path", 3)
+    tree = trees.best_of_runs(trees.Data(facts, vec), Params(starts=2, iterations=4, seed=7, min_obs=1), runs=1).tree
+    cells = tree.cell_node.select(F.lit("cell").alias("kind"), F.col("cell_id").alias("id"), F.col("node").cast("long").alias("node"))
+    return cells.union(tree.snv_node.select(F.lit("snv"), "snv_id", F.col("node").cast("long")))
+
+
 @query("r1_thirds_by_start", W("snvs") + ", u as (" + " union all ".join(f"select {i} start_id, snv_id, {uniform_sql(7, i, 'snv_id')} u from snvs" for i in (1, 2)) + ") select start_id, snv_id, case when u < 1 / 3e0 then 'A' when u < 2 / 3e0 then 'B' else 'C' end sp from u")
 def r1(s, d):
     pool = R.snvs(s, d).crossJoin(F.broadcast(s.createDataFrame([(1,), (2,)], "start_id int")))

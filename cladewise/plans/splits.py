@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import relations as R
 from ..config import Params
+from ..functions.likelihood import with_likelihoods
 from ..operators import assign, bipartition, scoring
 from ..operators import counts as C
 from ..operators import features as X
+from ..search import split
+from ..storage import keep
 from .registry import query
 
 W = R.with_sql
@@ -200,14 +203,51 @@ def f21d(s, d):
 
 @query("f19_largest_component", W("cells") + ", l as (select cell_id a, cell_id + 7 b from cells where cell_id % 3 <> 0 and cell_id + 7 <= (select max(cell_id) from cells)), e as (select a, b from l union all select b, a from l), r as (select cell_id, cell_id root from cells union select r.cell_id, e.b from r join e on e.a = r.root), m as (select cell_id, min(root) root from r group by 1), t as (select root from m group by 1 order by count(*) desc, root limit 1) select cell_id from m join t using (root)")
 def f19(s, d):
-    from ..storage import keep
-
     cells = R.cells(s, d)
     top = cells.agg(F.max("cell_id").alias("m"))
     links = cells.crossJoin(F.broadcast(top)).where("cell_id % 3 <> 0 and cell_id + 7 <= m").select(F.col("cell_id").alias("a"), (F.col("cell_id") + 7).alias("b"))
     return bipartition.largest_component(keep(links), cells)
 
 
+#: Clones planted on the observations of the whole table: which SNVs a cell's reads show, by remainders of both ids.
+_SHOWS = {
+    "linear": "snv_id % 2 = 0 or cell_id % 2 = 1",
+    "branching": "snv_id % 3 = 2 or snv_id % 3 = cell_id % 2",
+    "path": "snv_id % 3 <= cell_id % 3",
+}
+
+
+def planted(s, d, kind: str, clones: int):
+    """facts and vectors of all cells: every read of an SNV that the cell's clone has is a variant read."""
+    reads = R.reads(s, d).withColumn("var", F.when(F.expr(_SHOWS[kind]), F.col("total")).otherwise(0))
+    facts = keep(with_likelihoods(reads))
+    vec = facts.select("cell_id").distinct().select("cell_id", F.array((F.col("cell_id") % clones).cast("double"), (F.col("cell_id") % 7 / 100).cast("double")).alias("vec"))
+    return facts, keep(vec)
+
+
+def _found(s, d, kind: str):
+    facts, vec = planted(s, d, kind, 2)
+    got = split.search(kind, facts, facts.select("cell_id").distinct(), facts.select("snv_id").distinct(), vec, Params(starts=4, iterations=4))
+    if got is None:
+        return s.createDataFrame([], "kind string, id long, part string")
+    cells = got.cells.select(F.lit("cell").alias("kind"), F.col("cell_id").alias("id"), F.col("cp").alias("part"))
+    return cells.union(got.snvs.select(F.lit("snv"), "snv_id", "sp"))
+
+
+@query("t1_linear_search", W("reads") + "select distinct 'cell' kind, cell_id id, case when cell_id % 2 = 0 then 'A' else 'B' end part from reads union all select distinct 'snv', snv_id, case when snv_id % 2 = 0 then 'A' else 'B' end from reads")
+def t1(s, d):
+    """Two clones of a path, planted on all cells and SNVs."""
+    return _found(s, d, "linear")
+
+
+@query("t4_branching_search", W("reads") + "select distinct 'cell' kind, cell_id id, cell_id % 2 part from reads union all select distinct 'snv', snv_id, snv_id % 3 from reads")
+def t4(s, d):
+    """Two clones that branch; sides are named by the remainder of most of their cells."""
+    out = keep(_found(s, d, "branching"))
+    name = out.where("kind = 'cell'").groupBy("part").agg(F.round(F.avg(F.col("id") % 2)).cast("long").alias("name"))
+    return out.join(F.broadcast(name), "part", "left").select("kind", "id", F.coalesce("name", F.lit(2)).cast("long").alias("part"))  # a row for each side
+
+
 def _planted(s):
     """Two clones along a path, two along branches: 60 cells, 90 SNVs, deep reads."""
     cell, snv = s.range(60).withColumnRenamed("id", "cell_id"), s.range(90).withColumnRenamed("id", "snv_id")
@@ -217,9 +257,6 @@ def _planted(s):
 
 @query("t3_linear_search")
 def t3(s, d):
-    from ..functions.likelihood import with_likelihoods
-    from ..search import split
-
     facts = with_likelihoods(_planted(s))
     vec = s.range(60).select(F.col("id").alias("cell_id"), F.array((F.col("id") >= 30).cast("double"), F.lit(0.0)).alias("vec"))
     got = split.search("linear", facts, facts.select("cell_id").distinct(), facts.select("snv_id").distinct(), vec, Params(starts=2, iterations=3))
