@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontaminate, jaccard, kd_shards, mixing, near_vectors, secret_scan, substring, token_index, warc
+from . import cotrain, decontaminate, divergence, jaccard, kd_shards, mixing, near_vectors, packing, secret_scan, substring, token_index, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op1_cotrain": op1_cotrain, "op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op4_decontaminate": op4_decontaminate, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_cotrain": op1_cotrain, "op2_secret_scan": op2_secret_scan, "op3_token_index": op3_token_index, "op4_decontaminate": op4_decontaminate, "op5_near_vectors": op5_near_vectors, "op6_kd_shards": op6_kd_shards, "op7_substring": op7_substring, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard, "op11_packing": op11_packing, "op12_divergence": op12_divergence, "op13_vector_codes": op13_vector_codes}
 
 OP9 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
@@ -109,4 +124,47 @@ with recursive d as (
   {_REACH}
 select id doc_id, coalesce(n, 0) n_shingles, component_id from comp left join size on size.doc_id = id"""
 
-ORACLES = {"op5_near_vectors": OP5, "op7_substring": OP7, "op9_warc": OP9, "op10_jaccard": OP10}
+OP12 = r"""
+with d as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+  o as (select lang, source, id, unnest(w) term from d),
+  g as (select distinct lang, source from d),
+  k as (select lang, term from o group by 1, 2 having count(distinct id) >= 10),
+  n as (select lang, source, term, count(*) n from o group by 1, 2, 3),
+  c as (select g.lang, g.source, k.term, coalesce(n, 0) n from g join k using (lang) left join n using (lang, source, term)),
+  p as (select lang, source, term, n, 1 + 1000000000::hugeint * (n + 2) // (sum(n) over (partition by lang, source) + 2 * count(*) over (partition by lang, source)) p from c),
+  l as (select lang, term, sum(n) n from c group by 1, 2),
+  q as (select lang, term, 1 + 1000000000::hugeint * (n + 2) // (sum(n) over (partition by lang) + 2 * count(*) over (partition by lang)) q from l),
+  pairs as (select a.lang, a.source, b.source item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+            left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by 1, 2, 3),
+  terms as (select lang, source, term item, (p - q) * (p - q) // (p + q) value from p join q using (lang, term) where n > 0 and p > q),
+  r as (select lang, source, 'pair' part, item, value, row_number() over (partition by lang, source order by value desc, item) rank from pairs
+        union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from terms)
+select lang, source, part, item, cast(value as bigint) value, cast(rank as int) rank from r where part = 'pair' or rank <= 10"""
+
+
+def _op13(rounds: int = 2) -> str:
+    """Rounds of assigning parts to entries and averaging, written out one after another."""
+    floor = "cast((s - ((s % n) + n) % n) // n as bigint)"
+    steps = [
+        "v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)",
+        "part as materialized (select vec_id, p, e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16] x from v, range(16) r(p))",
+        "b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 k, x from part where vec_id in (select vec_id from v order by vec_id limit 64))",
+    ]
+    for i in range(rounds + 1):
+        d = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{i} as materialized (select vec_id, p, x, min(struct_pack(d := d, k := k)) m from (select a.vec_id, a.p, a.x, b.k, {d} d from part a join b{i} b using (p)) group by 1, 2, 3)")
+        if i < rounds:
+            steps.append(f"s{i} as (select p, k, i, sum(c)::hugeint s, count(*) n from (select p, m.k k, unnest(x) c, unnest(range(len(x))) i from a{i}) group by 1, 2, 3)")
+            steps.append(f"b{i + 1} as materialized (select p, k, coalesce(y, x) x from b{i} left join (select p, k, list({floor} order by i) y from s{i} group by 1, 2) using (p, k))")
+    return f"""
+with {", ".join(steps)},
+  h as (select sha256(string_agg(c, ',' order by p, k, i)) codebooks_sha256 from (select p, k, unnest(x)::varchar c, unnest(range(len(x))) i from b{rounds})),
+  o as (select vec_id, string_agg(format('{{:02x}}', m.k), '' order by p) code, cast(sum(m.d) as bigint) error from a{rounds} group by 1)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from o join v using (vec_id), h"""
+
+
+OP13 = _op13()
+
+ORACLES = {"op5_near_vectors": OP5, "op7_substring": OP7, "op9_warc": OP9, "op10_jaccard": OP10, "op12_divergence": OP12, "op13_vector_codes": OP13}
