@@ -78,11 +78,20 @@ def row_hash(docs: DataFrame):
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
 
 
+def apart(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with, for columns of an operator's own beside them."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def rows_within(docs: DataFrame, keys: DataFrame, how: str, most: int) -> DataFrame:
     """docs joined (left_semi or left_anti) with stored keys: doc_id and row, a row_hash() of docs. All columns of docs stay."""
-    keys = broadcast_if_small(keys.select(F.col("row").alias("_r"), F.col("doc_id").alias("_d")), most)
-    keyed = docs.withColumn("_row", row_hash(docs)).withColumn("_doc", F.col("doc_id").cast("long"))
-    met = keyed.join(keys, (F.col("_row") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d")), how)
+    row, doc, r, d = (apart(docs) + c for c in ("row", "doc", "r", "d"))
+    keys = broadcast_if_small(keys.select(F.col("row").alias(r), F.col("doc_id").alias(d)), most)
+    keyed = docs.withColumns({row: row_hash(docs), doc: F.col("doc_id").cast("long")})
+    met = keyed.join(keys, (F.col(row) == F.col(r)) & F.col(doc).eqNullSafe(F.col(d)), how)
     return met.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, signed, slices, small_batches, split_words, stored
+from .common import Rolling, apart, broadcast_if_small, signed, slices, small_batches, split_words, stored
 
 #: Tokens in a window, and how many of them must be words.
 WINDOW, LITERALS = 8, 4
@@ -230,7 +230,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, long_run: i
 
     An item leaks if windows that count match at least `least` of its windows or of those with enough words, or windows over
     `long_run` of its tokens in a row; coverage is the larger share. Windows with fewer words match word for word only.
-    verbatim tells that all slots kept their values. Null and empty texts leak nothing and items of one word are never
+    A diagonal's slots are consistent if each value of the item has become one value of the document; different values of the
+    item may have become the same one (a leak all the same), and one value may not have become two. verbatim tells that all
+    slots kept their values. Null and empty texts leak nothing and items of one word are never
     leaked; null ids are ordinary values; repeated rows give one result per doc_id and text. Of values that a diagonal gives a
     slot equally often, each counts (a tie drops nothing). A text is taken whole, however long; empty tables give no rows;
     other columns are ignored, whatever their names.
@@ -273,8 +275,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, long_run: i
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that leak no item."""
-    bad = leaks(docs, benchmark, **how).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    bad = stored(bad, "leaks")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """The rows of docs that leak no item, with all their columns."""
+    doc, hash_ = (apart(docs) + c for c in ("doc", "hash"))
+    bad = leaks(docs, benchmark, **how).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("text_hash").alias(hash_)).distinct()
+    bad = broadcast_if_small(stored(bad, "leaks"), BROADCAST_ROWS)
+    return docs.join(bad, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, broadcast_if_small, discard, forest, key_runs, row_hash, rows_within, signed, slices, small_batches, stored, word_codes
+from .common import Rolling, apart, broadcast_if_small, discard, forest, key_runs, row_hash, rows_within, signed, slices, small_batches, stored, word_codes
 from .components import connected_components
 
 #: One shingle in so many (a power of two) is in the first count.
@@ -358,4 +358,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def _once(docs: DataFrame) -> DataFrame:
     """One of each set of rows that are the same in all columns that can be hashed."""
-    return docs.withColumn("_row", row_hash(docs)).dropDuplicates(["_row", "doc_id"]).drop("_row")
+    row = apart(docs) + "row"
+    return docs.withColumn(row, row_hash(docs)).dropDuplicates([row, "doc_id"]).drop(row)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, row_hash, stored
+from .common import apart, broadcast_if_small, discard, row_hash, stored
 
 LEVELS = ["domain", "lang", "source"]
 NONE = "(none)"
@@ -179,9 +179,11 @@ def take_rows(docs: DataFrame, total: int | None = None, part: float = 0.9, weig
     """The rows of docs, each as often as mix_sources() takes it, with the columns of docs."""
     rows, cuts = _cuts(docs, total, part, WEIGHTS if weights is None else weights, epochs, seed)
     discard(rows)
-    own = dict(zip((f"_{level}" for level in LEVELS), _levels(docs)))
-    cuts = broadcast_if_small(cuts, BROADCAST_LEAVES).select(*[F.col(level).alias(f"_of_{level}") for level in LEVELS], *[F.col(c).alias(f"_{c}") for c in ("whole", "bins", "edge", "cut")])
-    keyed = docs.withColumn("_row", row_hash(docs)).withColumns(own)
-    met = keyed.join(cuts, [F.col(f"_{level}") == F.col(f"_of_{level}") for level in LEVELS])
-    met = met.withColumn("_times", _times(epochs, seed, F.col("doc_id"), F.col("_row"), "_")).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    p = apart(docs)
+    own = dict(zip((f"{p}{level}" for level in LEVELS), _levels(docs)))
+    cuts = broadcast_if_small(cuts, BROADCAST_LEAVES).select(*[F.col(level).alias(f"{p}of_{level}") for level in LEVELS], *[F.col(c).alias(f"{p}{c}") for c in ("whole", "bins", "edge", "cut")])
+    keyed = docs.withColumn(f"{p}row", row_hash(docs)).withColumns(own)
+    met = keyed.join(cuts, [F.col(f"{p}{level}") == F.col(f"{p}of_{level}") for level in LEVELS])
+    met = met.withColumn(f"{p}times", _times(epochs, seed, F.col("doc_id"), F.col(f"{p}row"), p)).where(F.col(f"{p}times") > 0)
+    met = met.withColumn(f"{p}epoch", F.explode(F.sequence(F.lit(1), F.col(f"{p}times"))))
     return met.select(*[F.col(f"`{c}`") for c in docs.columns])

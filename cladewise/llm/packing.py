@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_runs, slices, small_batches, stored
-from .token_index import ENCODED_BYTES, WordEncoder
+from .token_index import ENCODED_BYTES, encoder
 
 #: Tokens of a sequence, and pieces that a task packs together.
 CAPACITY, GROUP = 2048, 8192
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     small_batches(docs.sparkSession)
 
     def encode(batches):
-        coder = WordEncoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         base, seen = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             texts = batch.column("text")

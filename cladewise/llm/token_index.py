@@ -17,6 +17,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -250,6 +251,12 @@ class WordEncoder:
         return out, per_text + 1
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """A worker's encoder, with the words that it knows by now; it outlives a task."""
+    return WordEncoder(path, end_id)
+
+
 # --- over tables ------------------------------------------------------------------------------------------------------
 
 
@@ -326,7 +333,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
     small_batches(spark)
 
     def encode(batches):
-        coder = WordEncoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         for batch in batches:
             keys, texts = _keys(batch.column("doc_id")), batch.column("text")
             for lo, hi in slices(texts, ENCODED_BYTES):
@@ -343,7 +350,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
                 )
 
     def write(batches):
-        kind = WordEncoder(tokenizer, end_id).kind
+        kind = encoder(tokenizer, end_id).kind
         shard, keys, ids = None, [], []
 
         def close():

@@ -1,5 +1,9 @@
 """Leaks whose slots clash, and texts that are mostly slots."""
 
+from collections import defaultdict
+
+import numpy as np
+
 from cladewise.llm import decontaminate
 
 
@@ -51,3 +55,61 @@ def test_other_languages(spark):
     got = found(spark, [b for _, b in pairs], [a for a, _ in pairs])
     assert set(got) == {(i, i) for i in range(4)}
     assert all(r["coverage"] == 1 and not r["verbatim"] for r in got.values())
+
+
+def brute_leaks(doc, item, window=8, literals=4, least=0.5, long_run=20):
+    """Coverage of an item (words and numbers) in a document, None if it does not leak."""
+    d, t = doc.split(), item.split()
+    size = min(window, len(t))
+    if len(t) < 2:
+        return None
+    places = len(t) - size + 1
+    rich = [sum(not w.isdigit() for w in t[i : i + size]) >= min(literals, size) for i in range(places)]
+    matched, runs = set(), False
+    for delta in range(-len(t), len(d)):
+        found = []
+        for i in range(places):
+            cut = d[i + delta : i + delta + size] if i + delta >= 0 else []
+            own = t[i : i + size]
+            if len(cut) == size and (cut == own or rich[i] and all(a == b or a.isdigit() and b.isdigit() for a, b in zip(own, cut))):
+                found.append(i)
+        votes = defaultdict(set)
+        for i in found:
+            for j in range(i, i + size):
+                if t[j].isdigit():
+                    votes[t[j], d[j + delta]].add(j)
+        most = defaultdict(int)
+        for (a, _), at in votes.items():
+            most[a] = max(most[a], len(at))
+        counts = []
+        for i in found:
+            pairs = [(t[j], d[j + delta]) for j in range(i, i + size) if t[j].isdigit()]
+            if all(a == b for a, b in pairs) or all(len(votes[p]) == most[p[0]] for p in pairs):
+                counts.append(i)
+        matched |= set(counts)
+        here = set(counts)
+        need = max(long_run - size + 1, 1)
+        runs |= any(all(i + k in here for k in range(need)) for i in here)
+    share = max(len(matched) / places, len([i for i in matched if rich[i]]) / sum(rich) if sum(rich) else 0)
+    return round(share, 6) if matched and (share >= least or runs) else None
+
+
+def test_against_brute_force(spark):
+    """Random questions with other numbers: values that coincide, swap, part, or repeat; long, short and one-word items."""
+    rng = np.random.default_rng(6)
+    words = [a + b for a in ("bar", "lom", "tek", "sun", "pod") for b in ("ol", "ix", "an", "ur")]
+    text = lambda n, numbers: " ".join(str(rng.integers(1, 5) * 11) if rng.random() < numbers else words[rng.integers(0, 20)] for _ in range(n))
+    items = [text(int(n), p) for n, p in zip(rng.integers(1, 34, 24), rng.choice([0.0, 0.2, 0.4, 0.8], 24))]
+    docs = [text(40, 0.3) for _ in range(10)]
+    for k, item in enumerate(items * 4):
+        values, kind = [str(11 * v) for v in range(1, 5)], k % 6
+        new = {0: values, 1: values[1:] + values[:1], 2: ["7"] * 4, 3: ["5", "6", "5", "9"], 4: values, 5: ["90", "91", "92", "93"]}[kind]
+        moved = [dict(zip(values, new)).get(w, w) for w in item.split()]
+        if kind == 4:  # one place against the others
+            moved = [("77" if w.isdigit() and rng.random() < 0.3 else w) for w in moved]
+        if kind == 5 and len(moved) > 10:  # cut in the middle
+            moved[len(moved) // 2] = "broken"
+        docs.append(" ".join([text(int(rng.integers(1, 12)), 0.1), *moved, text(int(rng.integers(0, 12)), 0.1)]).strip())
+    got = {k: r["coverage"] for k, r in found(spark, docs, items).items()}
+    want = {(i, j): c for i, d in enumerate(docs) for j, t in enumerate(items) if (c := brute_leaks(d, t)) is not None}
+    assert got == want and len(want) > 60

@@ -33,7 +33,7 @@ def odd(spark):
         (7, prose(40_000, 2), "fr", "c", 9), (8, "  \t\n ", "fr", "c", 4), (9, prose(60, 3) + " " + base, "en", "a", 7), (-5, "ünï çödé 漢字 \x00 end", "xx", "ç", 1),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for c in ("node", "shard", "size", "n", "doc", "text_hash", "token", "key", "grp", "rid", "owner", "seed", "leaf", "start", "value", "hash", "domain_", "tie", "features", "keep"):
+    for c in ("node", "shard", "size", "n", "doc", "text_hash", "token", "key", "grp", "rid", "owner", "seed", "leaf", "start", "value", "hash", "domain_", "tie", "features", "keep", "_row", "_doc", "_hash", "_r", "_d", "_times", "_lang", "_source", "_domain", "_epoch", "_whole", "_of_lang"):
         df = df.withColumn(c, F.lit("x"))
     return df.cache()
 
@@ -131,8 +131,8 @@ def test_decontamination(spark, odd):
     docs = [(1, f"{prose(50, 5)}. {item}. {prose(50, 6)}"), (2, f"{prose(30, 7)}. {other}."), (3, prose(300, 8)), (4, None), (5, mixed)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in rows_of(decontaminate.leaks(d, b))}
-    assert got[(1, 7)] and not got[(2, 7)] and (3, 7) not in got and (5, 7) not in got
-    assert sorted(r["doc_id"] for r in rows_of(decontaminate.drop_leaks(d, b))) == [3, 4, 5]
+    assert got[(1, 7)] and not got[(2, 7)] and (3, 7) not in got and not got[(5, 7)]
+    assert sorted(r["doc_id"] for r in rows_of(decontaminate.drop_leaks(d, b))) == [3, 4]
     assert decontaminate.drop_leaks(odd, b).count() == odd.count()
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), b).count() == 0
 
@@ -198,7 +198,7 @@ def test_shards(spark, odd):
         where[texts[r["doc_id"]]].add(r["shard"])
     assert all(len(s) == 1 for s in where.values())
     # a group that outweighs a shard is dealt row by row, whatever its ids
-    for ids in (list(range(800)), [None] * 800):
+    for ids in (list(range(800)), [None] * 800, [5] * 800):
         heavy = spark.createDataFrame([(i, "same " * 50) for i in ids] + [(800 + i, prose(20, i)) for i in range(200)], "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
         by = Counter()
         for r in rows_of(kd_shards.shard_documents(heavy, 8)):
@@ -361,7 +361,7 @@ def test_mix_against_brute_force(spark, odd, monkeypatch):
     docs += [(7, "a b c", "en", "hot", "x")] * 5 + [(8, "", "fr", "none", "y")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, domain string")
     weights = {"domain": {"x": 2.0, "y": 1.0}, "lang": {"en": 3.0, "de": 0.5}, "source": {"hot": 4.0, "s3": 0.0}}
-    for table, total in ((df, 4_000), (df, 11_000), (odd.withColumn("domain", F.lit("x")), 50_000)):
+    for table, total in ((df, 4_000), (df, 11_000), (df, 20_000), (df, 1), (df, 0), (odd.withColumn("domain", F.lit("x")), 50_000)):
         keyed = table.select("*", mixing.row_hash(table).alias("h"), *[mixing.place(7, F.lit(e), F.col("doc_id"), mixing.row_hash(table)).alias(f"p{e}") for e in (1, 2, 3)]).collect()
         named = lambda x: mixing.NONE if x is None else x
         key = lambda r: (-(2**63) if r["doc_id"] is None else r["doc_id"], r["h"])
@@ -560,7 +560,7 @@ def check_quality(spark, docs, after):
     assert Counter(r["doc_id"] for r in scored if r["keep"]) == Counter(r["doc_id"] for r in after)
     truth = {r["doc_id"]: bool(r["quality"] and not r["toxic"]) for r in labels.collect()}
     right = [r["keep"] == truth[r["doc_id"]] for r in scored if r["doc_id"] in truth]
-    print("right:", len(right), np.mean(right))
+    assert len(right) >= 50 and np.mean(right) >= 0.7  # too few labels for more; see test_quality_held_out
 
 
 def check_near_duplicates(spark, docs, after):
@@ -608,6 +608,27 @@ def check_sharding(spark, docs, after):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_quality_held_out(spark):
+    """Labels that the classifier was not given, in the next larger tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept_out = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
+    scored = cotrain.score_documents(docs, *cotrain.train(docs, labels.where(~kept_out))).join(labels.where(kept_out).withColumnRenamed("quality", "good"), "doc_id").collect()
+    right = [r["keep"] == bool(r["good"] and not r["toxic"]) for r in scored]
+    assert len(right) >= 80 and np.mean(right) >= 0.85, (len(right), np.mean(right))
+
+
+def test_stages_keep_columns(spark, awkward):
+    """Values of other columns stay with their rows, also under names that stages use themselves."""
+    docs = awkward.unionByName(awkward.where("doc_id is not null").withColumns({c: F.regexp_replace(c, "of .*", "of 100") for c in awkward.columns[5:]}).withColumn("doc_id", F.lit(100).cast("long")).withColumn("text", F.concat(F.lit("all new words go here "), F.coalesce("n_chars", F.lit(0)))))
+    extra = docs.columns[5:]
+    assert {"_row", "_doc", "_hash", "_times", "_lang", "_epoch"} <= set(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in extra), name
+
+
 def test_pipeline_stages(spark, odd):
     """Every stage against brute force, on all rows that the one before kept."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
