@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import Params
 from .functions.likelihood import with_likelihoods
-from .operators import bipartition, counts
+from .operators import bipartition, counts, layout
 from .search import trees
 from .sources import files
 from .storage import keep
@@ -52,6 +52,7 @@ def options() -> argparse.ArgumentParser:
         p.add_argument(*filter(None, (short, name)), help=text)
     p.add_argument("--post_process", action="store_true", help="refine the best tree")
     p.add_argument("--no-umap", action="store_true", help="take the bins as coordinates")
+    p.add_argument("--principal_components", action="store_true", help="extension: place cells by two principal components")
     p.add_argument("--keep_first_line", action="store_true", help="extension: the variant file has no header to drop")
     p.add_argument("--no_copy_kernel", action="store_true", help="extension: begin without the copy kernel")
     p.add_argument("--documented", action="store_true", help="extension: behave as documented where the two differ")
@@ -70,7 +71,11 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Found:
     by_cell = bins.join(cells, "cell", "left").select("cell_id", "bin", "n")
     files.validate(facts, by_cell)
     facts = keep(with_likelihoods(facts, o.alpha, o.copies))
-    vectors = counts.bin_vectors(by_cell) if o.no_umap else bipartition.pca(counts.bin_vectors(counts.normalised_bins(by_cell), "share"))
+    if o.no_umap:
+        vectors = counts.bin_vectors(by_cell)
+    else:
+        shares = counts.bin_vectors(counts.normalised_bins(by_cell), "share")
+        vectors = bipartition.pca(shares) if o.principal_components else layout.layout(shares)
     data = trees.Data(facts, keep(vectors))
     params = Params(o.alpha, o.copies, o.gamma, o.min_obs, o.radius, o.low_cmb, o.high_cmb, o.nobs_per_cluster, o.starts, o.iterations, o.seed, not o.no_copy_kernel, o.post_process, not o.documented)
     found = trees.best_of_runs(data, params, o.runs, o.mode == "rd")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import relations as R
 from ..config import Params
 from ..functions.likelihood import with_likelihoods
-from ..operators import assign, bipartition, scoring
+from ..operators import assign, bipartition, layout, scoring
 from ..operators import counts as C
 from ..operators import features as X
 from ..search import split
@@ -120,6 +120,22 @@ def f1(s, d):
     return bipartition.pca(C.bin_vectors(C.normalised_bins(R.bins(s, d)), "share"))
 
 
+@query("f1_layout")
+def f1l(s, d):
+    """The default embedding: a layout of all cells by their shares of reads in bins."""
+    out = layout.layout(C.bin_vectors(C.normalised_bins(R.bins(s, d)), "share"))
+    return out.select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+
+
+@query("f1_neighbours", W("bins") + ", p as (select cell_id, bin, n / sum(n) over (partition by cell_id)::double s from bins), g as (select c.cell_id, b.bin, coalesce(s, 0) s from (select distinct cell_id from bins) c cross join (select distinct bin from bins) b left join p using (cell_id, bin)), "
+       "d as (select x.cell_id, y.cell_id other, sum(abs(x.s - y.s)) d from g x join g y on x.bin = y.bin and x.cell_id <> y.cell_id group by 1, 2) select cell_id, count(*) n, round(sum(d), 9) total, round(max(d), 9) last from (select *, row_number() over (partition by cell_id order by d) r from d) where r <= 39 group by 1")
+def f1n(s, d):
+    """Each cell's 39 nearest others by Manhattan distance: how many, their distances added up, the last one's."""
+    near = layout.neighbour_graph(C.bin_vectors(C.normalised_bins(R.bins(s, d)), "share"))
+    total = F.aggregate("near.d", F.lit(0.0), lambda a, b: a + b)
+    return near.select("cell_id", F.size("near").cast("long").alias("n"), F.round(total, 9).alias("total"), F.round(F.array_max("near.d"), 9).alias("last"))
+
+
 @query("f10_bipartition")
 def f10(s, d):
     feats = _f(s, d).withColumn("fb", F.when(F.col("cell_id") % 2 == 0, F.col("fb") + 5).otherwise(F.col("fb")))

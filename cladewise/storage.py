@@ -28,4 +28,15 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what keep() wrote, once nothing will read it again."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
