@@ -59,7 +59,7 @@ def cluster_snvs(facts: DataFrame, cells_a: DataFrame, snvs: DataFrame) -> DataF
     mine = facts.join(cells_a.select("cell_id"), "cell_id", "left_semi").join(snvs.select("snv_id"), "snv_id", "left_semi")
     f = keep(fraction_by(mine, "snv_id").where("f is not null"), "fractions")
     graph = f.select(F.col("snv_id").alias("cell_id"), F.array("f").alias("x"), F.lit(None).cast("array<double>").alias("vec"))
-    labels = bipartition.cut_rows(graph)
+    labels = bipartition.cut_by_blocks(graph, False, 1.0, False)
     if labels is None:
         return f.select("snv_id", F.lit("A").alias("sp"))
     own = f.join(labels.select(F.col("cell_id").alias("snv_id"), "k"), "snv_id")

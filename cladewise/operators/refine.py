@@ -83,11 +83,11 @@ def best_nodes(scores: DataFrame, ident: str, current: DataFrame | None = None)
     return scores.groupBy(ident).agg(best.alias("node"))
 
 
-def _loglik(sums: DataFrame, edges: DataFrame, snv_node: DataFrame) -> float:
-    """Variant likelihood of the whole tree, to 9 decimals."""
-    here = tree.presence(edges, snv_node, "snv_id").withColumn("here", F.lit(True))
-    each = sums.join(here, ["node", "snv_id"], "left")
-    return each.agg(F.round(F.sum(F.col("ll0") + F.when(F.col("here"), F.col("more")).otherwise(0.0)), 9)).first()[0] or 0.0
+def _gains(scores: DataFrame, current: DataFrame) -> bool:
+    """Whether an SNV has a better node (to 9 decimals) than it has now, or than none."""
+    now = scores.join(current.select("snv_id", F.col("node").alias("_now")), "snv_id", "left").withColumn("s", F.round("score", 9))
+    by = now.groupBy("snv_id").agg((F.max("s") > F.max(F.when(F.col("node") == F.col("_now"), F.col("s")))).alias("more"))
+    return bool(by.agg(F.bool_or("more")).first()[0])
 
 
 def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, q: float = 0.1, iterations: int = 1, store=None) -> tuple[DataFrame, DataFrame]:
@@ -95,8 +95,9 @@ def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_n
 
     In each iteration the nodes but the root are taken in postorder; all bad SNVs of a node move at once, which is what
     moving them one by one gives, since the clades are fixed. An iteration ends at the first node that leaves the likelihood
-    as it was. Facts are read twice, to place cells and to sum up by the nodes of cells; the rest works on the sums. `store`
-    writes a table and reads it back.
+    as it was: at the first one, as it was before anything was placed. Whether it changed is told by the SNVs that moved and
+    their scores, not by comparing sums over all facts. Facts are read twice, to place cells and to sum up by the nodes of
+    cells; the rest works on the sums. `store` writes a table and reads it back.
     """
     from ..storage import keep
 
@@ -105,20 +106,23 @@ def post_process(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_n
     lost = store(unplaced(cells, cell_node, "cell_id"))
     cell_node = store(cell_node.select("cell_id", "node").union(best_nodes(cell_scores(facts, edges, snv_node, lost), "cell_id").select("cell_id", "node")))
     sums = store(sums_by_node(facts, cell_node))
+    new_cells = not lost.isEmpty()
     lost = store(unplaced(snvs, snv_node, "snv_id"))
-    snv_node = store(snv_node.select("snv_id", "node").union(best_nodes(_snv_scores(sums, edges, lost), "snv_id").select("snv_id", "node")))
+    scores = store(_snv_scores(sums, edges, lost))
+    absent = sums.join(lost, "snv_id", "left_semi").groupBy("snv_id").agg(F.round(F.sum("ll0"), 9).alias("absent"))
+    better = scores.groupBy("snv_id").agg(F.max(F.round("score", 9)).alias("s")).join(absent, "snv_id").where("s <> absent")
+    changed = new_cells or not better.isEmpty()
+    snv_node = store(snv_node.select("snv_id", "node").union(best_nodes(scores, "snv_id").select("snv_id", "node")))
     edges = store(edges)
     top = tree.roots(edges)
     order = [r["node"] for r in tree.postorder(edges).join(top, "node", "left_anti").orderBy("place").collect()]  # nodes of a tree
-    before = _loglik(sums, edges, snv_node)
     for _ in range(iterations):
         for node in order:
             bad = store(_bad_snvs(sums, edges, snv_node.where(F.col("node") == node), q))
-            to = best_nodes(_snv_scores(sums, edges, bad), "snv_id")
-            kept = snv_node.join(bad.select("snv_id"), "snv_id", "left_anti")
-            snv_node = store(kept.select("snv_id", "node").union(to.select("snv_id", "node")))
-            after = _loglik(sums, edges, snv_node)
-            if after == before:
+            scores = store(_snv_scores(sums, edges, bad))
+            if not _gains(scores, snv_node.where(F.col("node") == node)) and not changed:
                 break
-            before = after
+            changed = False
+            kept = snv_node.join(bad.select("snv_id"), "snv_id", "left_anti")
+            snv_node = store(kept.select("snv_id", "node").union(best_nodes(scores, "snv_id").select("snv_id", "node")))
     return cell_node, snv_node

@@ -183,14 +183,14 @@ def brute_post_process(facts, edges, cell_at, snv_at, q=0.1):
     ll0, ll1 = ({(f["cell_id"], f["snv_id"]): f[k] for f in facts} for k in ("ll0", "ll1"))
     pairs = {(f["cell_id"], f["snv_id"]): (f["var"], f["total"]) for f in facts}
     here = lambda s, n: any(n in clade[a] for a in [snv_at[s]]) if s in snv_at else False
+    total = lambda: round(sum(ll1[p] if here(p[1], cell_at[p[0]]) else ll0[p] for p in pairs if p[0] in cell_at), 9)
+    before = total()
     for c in sorted({c for c, _ in pairs} - set(cell_at)):
         open_ = [n for n in nodes if len(kids.get(n, [])) < 2]
         cell_at[c] = max(open_, key=lambda n: (round(sum(ll1[p] if here(p[1], n) else ll0[p] for p in pairs if p[0] == c), 9), -n))
     best = lambda s: max(nodes, key=lambda n: (round(sum(ll1[p] if cell_at[p[0]] in clade[n] else ll0[p] for p in pairs if p[1] == s), 9), -n))
     for s in sorted({s for _, s in pairs} - set(snv_at)):
         snv_at[s] = best(s)
-    total = lambda: round(sum(ll1[p] if here(p[1], cell_at[p[0]]) else ll0[p] for p in pairs), 9)
-    before = total()
     for n in order[:-1]:
         mine = [s for s in snv_at if snv_at[s] == n]
         f = {}
@@ -220,6 +220,24 @@ def test_post_process_against_brute_force(spark):
     assert tuple({r[i]: r["node"] for r in df.collect()} for df, i in zip(got, ("cell_id", "snv_id"))) == want
 
 
+def test_post_process_goes_on(spark):
+    """What was missing changes the likelihood, so that a first node without moves does not end it; without anything missing
+    it does."""
+    edges = [(0, 1), (0, 2)]
+    at = [(c, 1 + c // 10) for c in range(20)]
+    shows = lambda c, m: c < 10 if m < 11 else c >= 10
+    rows = [(c, m, 4 * shows(c, m), 4) for c in range(21) for m in range(20)]
+    facts = trees.keep(with_likelihoods(spark.createDataFrame(rows, "cell_id long, snv_id long, var long, total long")))
+    tables = lambda cells, snvs: (spark.createDataFrame(cells, "cell_id long, node int"), spark.createDataFrame(snvs, "snv_id long, node int"))
+    snv_at = [(m, 1 if m < 10 else 2) for m in range(19)]
+    e = spark.createDataFrame(edges, "parent int, child int")
+    for cells, snvs, node in ((at, snv_at, 1), (at + [(20, 2)], snv_at + [(19, 2)], 2)):
+        want = brute_post_process(facts.collect(), edges, cells, snvs)
+        got = refine.post_process(facts, e, *tables(cells, snvs))
+        got = tuple({r[i]: r["node"] for r in df.collect()} for df, i in zip(got, ("cell_id", "snv_id")))
+        assert got == want and got[1][10] == node
+
+
 def test_keys_and_losses(spark):
     """G13, G22, T17, T21."""
     cells, snvs = spark.range(4).select(F.col("id").alias("cell_id")), spark.range(4).select(F.col("id").alias("snv_id"))
