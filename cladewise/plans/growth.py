@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import relations as R
 from ..config import Params
 from ..functions.uniform import uniform_sql
-from ..operators import bipartition
 from ..search import split, starts, trees
 from ..sources import files
 from .registry import query
@@ -130,17 +129,6 @@ def r1(s, d):
     return starts.thirds(pool, 7)
 
 
-@query("f11_fiedler_cut")
-def f11(s, d):
-    """The older cut on one planted graph; the graph is a fixed small one."""
-    import numpy as np
-
-    x = np.concatenate([np.linspace(0, 0.2, 20), np.linspace(1, 1.2, 30)])
-    gap = np.abs(x[:, None] - x[None, :])
-    labels, stats = bipartition.fiedler_cut(np.exp(-gap / (0.2 * gap.max())))
-    return s.createDataFrame([(int(min(labels.sum(), 50 - labels.sum())), stats["k"])], "smaller int, k int")
-
-
 @query("s3_preview", W("reads") + "select * from reads order by cell_id, snv_id limit 3")
 def s3(s, d):
     """The first rows, as a caller sees them."""

@@ -174,10 +174,10 @@ def a12(s, d):
     return R.bins(s, d).agg((F.max("n") - F.min("n")).alias("span"))
 
 
-@query("a14_weighted_support", "select v, count(*) n from (select i / c::double v from range(1, 6) a(c), range(1, 6) b(i) where i <= c) group by 1")
+@query("a14_weighted_support", W("reads") + "select round(var / total::double, 12) v, count(*) n from reads group by 1")
 def a14(s, d):
-    copies = s.range(1, 6).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("id"))).alias("i"), F.col("id").alias("c"))
-    return copies.groupBy((F.col("i") / F.col("c")).alias("v")).agg(F.count("*").alias("n"))
+    """The distinct variant fractions of all observations, and how often each comes."""
+    return R.reads(s, d).groupBy(F.round(F.col("var") / F.col("total"), 12).alias("v")).agg(F.count("*").alias("n"))
 
 
 @query("a15_all", W("reads") + "select cell_id, bool_and(total <= 3) ok from reads group by 1")
@@ -195,9 +195,13 @@ def l2(s, d):
     return R.loaded(s, d).select("cell_id", "snv_id", F.round("ll0", 6).alias("ll0"))
 
 
-@query("l3_lattice", W("lattice") + "select round(v, 12) v, round(w, 12) w from lattice")
+@query("l3_lattice", W("lattice", "reads") + "select round(v, 12) v, round(w, 12) w, (select count(*) from reads where var > v * total) above from lattice")
 def l3(s, d):
-    return s.createDataFrame(L.lattice(), "v double, w double").select(F.round("v", 12).alias("v"), F.round("w", 12).alias("w"))
+    """The support of the variant fraction, its weights, and how many observations lie above each point."""
+    points = s.createDataFrame(L.lattice(), "v double, w double")
+    seen = R.reads(s, d).groupBy("var", "total").agg(F.count("*").alias("n"))
+    met = seen.crossJoin(F.broadcast(points))  # points of the lattice
+    return met.groupBy("v", "w").agg(F.sum(F.when(F.col("var") > F.col("v") * F.col("total"), F.col("n")).otherwise(0)).alias("above")).select(F.round("v", 12).alias("v"), F.round("w", 12).alias("w"), "above")
 
 
 @query("l4_adjusted_fraction", W("reads") + "select snv_id, round(f * (1 - 1e-3) + (1 - f) * 1e-3 / 3, 9) v from (select snv_id, sum(var) / sum(total)::double f from reads group by 1)")
@@ -234,18 +238,27 @@ def r3(s, d):
     return weighted_sample(C.fraction_by(R.reads(s, d), "snv_id"), 0.5, 1026, 5).select("snv_id")
 
 
-@query("r4_success_probability", "select n, case when n < 60 then 0e0 else round(exp(lgamma(n - 60 + 6) - lgamma(6) - lgamma(n - 60 + 1) - (lgamma(n + 6) - lgamma(6) - lgamma(n + 1))), 6) end p from (values (50), (100), (1000), (5876)) t(n)")
-def r4(s, d):
-    return s.createDataFrame([(n, round(U.success_probability(n, 6, 10), 6)) for n in (50, 100, 1000, 5876)], "n int, p double")
+_SEEN = W("reads") + ", o as (select distinct count(*) n from reads group by cell_id) "
+
 
+def _seen(s, d):
+    """The distinct numbers of observations that cells have."""
+    return R.reads(s, d).groupBy("cell_id").agg(F.count("*").alias("n")).select("n").distinct()
 
-def _power_sql(dd: int) -> str:
-    return f"(select min(n) from range(1, 20000) t(n) where n >= {6 * dd} and exp(lgamma(n - {6 * dd} + 6) - lgamma(n - {6 * dd} + 1) - lgamma(n + 6) + lgamma(n + 1)) >= 0.95e0)"
+
+@query("r4_success_probability", _SEEN + "select n, case when n < 60 then 0e0 else round(exp(lgamma(n - 60 + 6) - lgamma(n - 60 + 1) - lgamma(n + 6) + lgamma(n + 1)), 6) end p from o")
+def r4(s, d):
+    """For each number of observations that a cell has: the share of ways in which six parts get ten or more each."""
+    rows = lambda batches: (pdf.assign(p=[round(U.success_probability(n, 6, 10), 6) for n in pdf["n"].tolist()]) for pdf in batches)
+    return _seen(s, d).mapInPandas(rows, "n long, p double")
 
 
-@query("r5_required_observations", f"select 7 d, {_power_sql(7)} n union all select 10, {_power_sql(10)}")
+@query("r5_required_observations", _SEEN + ", q as (select distinct 1 + n // 60 d from o) select d, min(t.n) n from q, range(1, 20000) t(n) where t.n >= 6 * d and exp(lgamma(t.n - 6 * d + 6) - lgamma(t.n - 6 * d + 1) - lgamma(t.n + 6) + lgamma(t.n + 1)) >= 0.95e0 group by 1")
 def r5(s, d):
-    return s.createDataFrame([(k, U.required_observations(6, k, 0.95, 10**6)) for k in (7, 10)], "d int, n long")
+    """For what each of six parts would get of a cell's observations: how many it takes for that at 95 %."""
+    want = _seen(s, d).select(F.expr("1 + n div 60").alias("d")).distinct()
+    rows = lambda batches: (pdf.assign(n=[U.required_observations(6, k, 0.95, 10**6) for k in pdf["d"].tolist()]) for pdf in batches)
+    return want.mapInPandas(rows, "d long, n long")
 
 
 @query("u1_union", W("reads") + "select snv_id from reads where cell_id = 1 union select snv_id from reads where cell_id = 2")

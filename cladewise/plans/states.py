@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log, pi
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import relations as R
@@ -41,9 +42,17 @@ def h2(s, d):
     return cna.mean_profile(_rdr(s, d)).crossJoin(F.broadcast(em)).select("bin", "state", F.round(cna.log_normal(F.col("x"), F.col("mu"), F.col("var")), 6).alias("e"))
 
 
-@query("h3_transitions", "select i, j, round(case when i = j then ln(0.9e0) else ln(0.05e0) end, 9) t from range(3) a(i), range(3) b(j)")
+@query(
+    "h3_transitions",
+    W("bins") + _PROFILE + _STATE + ", nm as (select * from (values (0, 'gain'), (1, 'loss'), (2, 'neutral')) t(i, s)), lg as (select s, lag(s) over (partition by chrom order by bin) p from st), mv as (select p, s, count(*) n from lg where p is not null group by 1, 2) "
+    "select a.i, b.i j, round(case when a.i = b.i then ln(0.9e0) else ln(0.05e0) end, 9) t, coalesce(n, 0) n from nm a cross join nm b left join mv on mv.p = a.s and mv.s = b.s",
+)
 def h3(s, d):
-    return s.createDataFrame([(i, j, x) for i, r in enumerate(cna.step(0.1)) for j, x in enumerate(r)], "i int, j int, t double").select("i", "j", F.round("t", 9).alias("t"))
+    """Log-probabilities of all steps, beside how often the states of the mean profile take each."""
+    steps = s.createDataFrame([(i, j, a, b, x) for (i, a), r in zip(enumerate(cna.STATES), cna.step(0.1)) for (j, b), x in zip(enumerate(cna.STATES), r)], "i int, j int, p string, state string, t double")
+    w = Window.partitionBy("chrom").orderBy("bin")
+    seen = _states(s, d).withColumn("p", F.lag("state").over(w)).where("p is not null").groupBy("p", "state").agg(F.count("*").alias("n"))
+    return steps.join(seen, ["p", "state"], "left").select("i", "j", F.round("t", 9).alias("t"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _MOVES = ", lg as (select chrom, bin, s, lag(s) over (partition by chrom order by bin) p from st), mv as (select chrom, sum(case when p is null then ln(1 / 3e0) when p = s then ln(0.9e0) else ln(0.05e0) end) t from lg group by 1)"
@@ -112,22 +121,22 @@ _BS = ", bs as (select n.node, b.bin, case (n.node + b.bin) % 4 when 0 then 'gai
 def _bs(s, d):
     bins = R.bins(s, d).where("bin % 2 = 0").select("bin").distinct()
     r = (F.col("node") + F.col("bin")) % 4
-    return tree.nodes(R.edges(s)).crossJoin(F.broadcast(bins)).select("node", "bin", F.when(r == 0, "gain").when(r == 1, "loss").otherwise("neutral").alias("state"))
+    return tree.nodes(R.edges(s, d)).crossJoin(F.broadcast(bins)).select("node", "bin", F.when(r == 0, "gain").when(r == 1, "loss").otherwise("neutral").alias("state"))
 
 
 @query("g4_ancestral_states", W("bins", "closure", "nodes") + _BS + " select c.node, c.anc, b.bin from closure c join bs b on b.node = c.anc where b.state = 'gain'")
 def g4(s, d):
-    return cna.ancestral_states(tree.closure(R.edges(s)), _bs(s, d), "gain")
+    return cna.ancestral_states(tree.closure(R.edges(s, d)), _bs(s, d), "gain")
 
 
 @query("g14_edge_events", W("bins", "edges", "nodes") + _BS + ' select parent, child, u.bin, u.state "before", v.state "after" from edges join bs u on u.node = parent join bs v on v.node = child and v.bin = u.bin where u.state <> v.state')
 def g14(s, d):
-    return cna.edge_events(R.edges(s), _bs(s, d))
+    return cna.edge_events(R.edges(s, d), _bs(s, d))
 
 
 @query("j13_state_changes", W("bins", "edges", "nodes") + _BS + " select parent, child, count(*) n from edges join bs u on u.node = parent join bs v on v.node = child and v.bin = u.bin where u.state <> v.state group by 1, 2")
 def j13(s, d):
-    return cna.edge_events(R.edges(s), _bs(s, d)).groupBy("parent", "child").agg(F.count("*").alias("n"))
+    return cna.edge_events(R.edges(s, d), _bs(s, d)).groupBy("parent", "child").agg(F.count("*").alias("n"))
 
 
 @query("g15_cna_genotype", W("bins", "nodes") + _BS + " select u.bin, coalesce(state, 'neutral') state from (select distinct bin from bins) u left join bs on bs.bin = u.bin and node = 3")
@@ -183,7 +192,7 @@ def l6(s, d):
 )
 def l12(s, d):
     snv_bin = R.snvs(s, d).select("snv_id", (23940 + F.col("snv_id") % 83).alias("bin"))
-    here = tree.presence(R.edges(s), R.snv_node(s, d), "snv_id")
+    here = tree.presence(R.edges(s, d), R.snv_node(s, d), "snv_id")
     return cna.presence_by_state(R.loaded(s, d), R.cell_node(s, d), _bs(s, d), snv_bin, _by(s, d), here).select("node", F.round("variant", 3).alias("variant"))
 
 

@@ -36,10 +36,13 @@ def s2(s, d):
     return files.read_bins(s, at)
 
 
-@query("s4_arm_file", "select * from (values ('chr1', 'p', 0, 120), ('chr1', 'q', 121, 240)) t(chrom, arm, \"start\", \"end\")")
+@query("s4_arm_file", W("bins") + "select 'chr' || (bin // 12)::varchar chrom, case when bin % 12 < 6 then 'p' else 'q' end arm, min(bin)::bigint as start, max(bin)::bigint as \"end\" from bins group by 1, 2")
 def s4(s, d):
+    """Arms of the chromosomes that the bins lie on, written as a headerless file and read back."""
     at = _folder(s)
-    s.createDataFrame([("chr1", "p", 0, 120), ("chr1", "q", 121, 240)], "chrom string, arm string, start long, end long").write.csv(at)
+    arm = F.when(F.col("bin") % 12 < 6, "p").otherwise("q")
+    found = R.bins(s, d).groupBy(F.concat(F.lit("chr"), F.expr("bin div 12")).alias("chrom"), arm.alias("arm")).agg(F.min("bin").cast("long").alias("start"), F.max("bin").cast("long").alias("end"))
+    found.write.csv(at)
     return files.read_arms(s, at)
 
 
@@ -72,7 +75,7 @@ def k5(s, d):
 
 @query("k6_tree_snapshot", W("edges", "cell_node", "snv_node") + "select 'edge' kind, cast(parent as bigint) id, child node from edges union all select 'cell', cell_id, node from cell_node union all select 'snv', snv_id, node from snv_node")
 def k6(s, d):
-    files.save_tree(at := _folder(s), R.edges(s), R.cell_node(s, d), R.snv_node(s, d))
+    files.save_tree(at := _folder(s), R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d))
     e, c, m = files.load_tree(s, at)
     rows = e.select(F.lit("edge").alias("kind"), F.col("parent").cast("long").alias("id"), F.col("child").alias("node"))
     return rows.union(c.select(F.lit("cell"), "cell_id", "node")).union(m.select(F.lit("snv"), "snv_id", "node"))
@@ -91,13 +94,13 @@ _BYNODE = (
 
 @query("k7_dot", W("lik", "closure", "nodes", "cell_node", "snv_node") + _BYNODE + _LINES.format(label="tree", more="chr(92) || 'n' || format('{:,.2f}', v)", join="left join v using (node)"))
 def k7(s, d):
-    scores = scoring.variant_by_node(R.loaded(s, d), R.edges(s), R.cell_node(s, d), R.snv_node(s, d)).withColumnRenamed("variant", "score")
-    return files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d), scores, label="tree").select("ord.part", "ord.node", "ord.to", "line")
+    scores = scoring.variant_by_node(R.loaded(s, d), R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d)).withColumnRenamed("variant", "score")
+    return files.dot_lines(R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d), scores, label="tree").select("ord.part", "ord.node", "ord.to", "line")
 
 
 @query("g23_labels", W("cell_node", "snv_node", "nodes") + "select n.node, n.node || '|' || (select count(*) from cell_node c where c.node = n.node) || '|' || (select count(*) from snv_node s where s.node = n.node) label from nodes n")
 def g23(s, d):
-    lines = files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d)).where("ord.part = 1")
+    lines = files.dot_lines(R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d)).where("ord.part = 1")
     part = lambda i: F.regexp_extract("line", r'label="(\d+)\\ncells: (\d+)\\nSNVs: (\d+)', i)
     return lines.select("ord.node", F.concat_ws("|", part(1), part(2), part(3)).alias("label"))
 
@@ -109,7 +112,7 @@ _TWO = "select 1, p, 0, '  ' || p || ' [label=\"' || p || chr(92) || 'ncells: '
 @query("k8_candidate_dots", _ONE + _TWO + "select 0 tree_id, line from five union all select 1, line from two")
 def k8(s, d):
     """The texts of two candidate trees, each in its folder."""
-    five = files.dot_lines(R.edges(s), R.cell_node(s, d), R.snv_node(s, d))
+    five = files.dot_lines(R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d))
     by = lambda df, c: df.select(c, (F.col(c) % 2).cast("int").alias("node"))
     two = files.dot_lines(s.createDataFrame([(0, 1)], "parent int, child int"), by(R.cells(s, d), "cell_id"), by(R.snvs(s, d), "snv_id"))
     files.candidate_dots(five.withColumn("tree_id", F.lit(0)).union(two.withColumn("tree_id", F.lit(1))), at := _folder(s))
@@ -123,7 +126,7 @@ def k8(s, d):
 )
 def k9(s, d):
     lost = R.snv_node(s, d).where("snv_id % 7 = 0").withColumn("node", F.lit(1))
-    events = tree.nodes(R.edges(s)).withColumn("state", F.when(F.col("node") % 2 == 0, "gain").otherwise("loss"))
+    events = tree.nodes(R.edges(s, d)).withColumn("state", F.when(F.col("node") % 2 == 0, "gain").otherwise("loss"))
     files.save_results(at := _folder(s), R.cell_node(s, d), R.snv_node(s, d), lost, events)
     back = None
     for name, ident, what in (("cells", "cell_id", "node"), ("snvs", "snv_id", "node"), ("losses", "snv_id", "node"), ("events", "node", "state")):

@@ -41,8 +41,19 @@ def snv_node(spark: SparkSession, d: str) -> DataFrame:
     return snvs(spark, d).withColumn("node", (F.col("snv_id") % 5).cast("int"))
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, 1), (0, 2), (1, 3), (1, 4)], "parent int, child int")
+def _heap(keys: DataFrame, key: str) -> DataFrame:
+    """Edges of the tree in which k hangs under (k - 1) div 2."""
+    return keys.where(f"{key} > 0").select(F.expr(f"cast(({key} - 1) div 2 as int)").alias("parent"), F.col(key).cast("int").alias("child"))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """The clonal tree: a node for each region."""
+    return _heap(table(spark, d, "region"), "r_regionkey")
+
+
+def large_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree that grows with the tables: a node for each cell."""
+    return _heap(table(spark, d, "supplier"), "s_suppkey")
 
 
 def embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +75,8 @@ SQL = {
     "snvs": "select p_partkey snv_id from part",
     "cell_node": "select s_suppkey cell_id, cast(s_suppkey % 5 as int) node from supplier",
     "snv_node": "select p_partkey snv_id, cast(p_partkey % 5 as int) node from part",
-    "edges": "select * from (values (0, 1), (0, 2), (1, 3), (1, 4)) t(parent, child)",
+    "edges": "select cast((r_regionkey - 1) // 2 as int) parent, cast(r_regionkey as int) child from region where r_regionkey > 0",
+    "large": "select cast((s_suppkey - 1) // 2 as int) parent, cast(s_suppkey as int) child from supplier where s_suppkey > 0",
     "embedding": "select vec_id cell_id, embedding::double[] vec from embeddings",
     "lattice": "select v * (1 - 1e-3) + (1 - v) * 1e-3 / 3e0 v, count(*) / 15e0 w from (select i / c::double v from range(1, 6) a(c), range(1, 6) b(i) where i <= c) group by v",
     "lik": """select r.*, lnc + var * ln(1e-3) + (total - var) * ln(1 - 1e-3) ll0,
