@@ -149,13 +149,13 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     times = np.bincount(column)
     often = times[column] > 1
     owner, column = owner[often], (np.cumsum(times > 1) - 1)[column[often]]
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)), np.int64)
     width = 4096
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        out += m[: len(x)] @ m[len(x) :].T
+        out += (m[: len(x)] @ m[len(x) :].T).astype(np.int64)  # exact: at most `width` each
     return out
 
 

@@ -123,7 +123,8 @@ def _links(classes: DataFrame, width: int, hashes: int, tables: int, cosine: flo
                 )
 
     keys = stored(classes.select("node", "v").mapInArrow(keyed, "node long, tab int, key long"), "keys")
-    full = keys.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that a large bucket is a large key of `keys` alone and its join can be split.
+    full = stored(keys.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = keys.join(full, ["tab", "key"]).select("tab", "key", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
     met = met.join(classes.select("node", "v", "copies"), "node")

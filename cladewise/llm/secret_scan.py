@@ -109,7 +109,8 @@ def scan_secrets(
     spans = stored(clear.select("rid", "owner", "repository", "ord", "kind", "start", "end", "value_sha256", "base", "likely"), "spans")
     owners = spans.groupBy("value_sha256", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = owners.groupBy("value_sha256", "owner").agg(F.count("*").alias("n"))
-    counts = owners.groupBy("value_sha256").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    # Stored, so that a value which very many rows have is a large key of `spans` alone and its join can be split.
+    counts = stored(owners.groupBy("value_sha256").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")), "owners")
     judged = (
         spans.join(counts, "value_sha256")
         .withColumn("live", F.col("likely") & (F.col("n_owners") <= most_owners))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, new_folder, small_batches, stored
+from .common import broadcast_if_small, bytes_of, new_folder, small_batches, stored
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -29,6 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: A dictionary is trained on this many bytes of payload at the start of an archive, a bounded sample.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
+#: Digests that more than one record has, which may be sent to all executors; beyond it the join is shuffled.
+BROADCAST_DIGESTS = 500_000
 #: Bytes of payload in one archive, about.
 ARCHIVE_BYTES = 64 << 20
 
@@ -184,23 +186,29 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"), bytes_of("html").alias("payload_bytes"),
         F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("payload_digest"),
-        F.monotonically_increasing_id().alias("rid"),
     )
-    order = F.struct(F.col("page_id"), F.col("rid"))
-    # Only digests met twice are joined back, so that the payloads seldom need to move.
-    repeated = (
-        rows.where(F.col("payload_bytes") >= least)
-        .groupBy(F.col("payload_digest").alias("digest"))
-        .agg(F.count("*").alias("n"), F.max(order).alias("first"))
-        .where("n > 1")
-    )
-    return (
-        rows.join(repeated, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
-        .withColumn("record_type", F.when(F.col("digest").isNull() | (F.col("first.rid") == F.col("rid")), "response").otherwise("revisit"))
-        .withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first.page_id")))
-        .withColumn("copy", F.when(F.col("record_type") == "response", F.lit(0)).otherwise(F.lit(1) + F.col("rid")))
-        .select("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "copy")
-    )
+    large = F.col("payload_bytes") >= least
+    by_page = rows.where(large).groupBy(F.col("payload_digest").alias("digest"), F.col("page_id").alias("page")).agg(F.count("*").alias("n"))
+    best = F.max(F.struct("page", "n"))
+    # Only digests met twice are joined back, so that the payloads seldom need to move. A few bytes for each digest.
+    repeated = stored(by_page.groupBy("digest").agg(F.sum("n").alias("all"), best.alias("first")).where("all > 1").select("digest", F.col("first.page").alias("first"), F.col("first.n").alias("tied")), "repeated")
+    met = rows.join(broadcast_if_small(repeated, BROADCAST_DIGESTS), (F.col("payload_digest") == F.col("digest")) & large, "left")
+    columns = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    even = F.col("page_id").eqNullSafe(F.col("first"))
+    row = F.monotonically_increasing_id()
+
+    def decided(df: DataFrame, response, number=F.lit(1) + row) -> DataFrame:
+        kind = F.when(response, "response").otherwise("revisit")
+        return df.select(*columns, kind.alias("record_type"), F.when(~response, F.col("first")).alias("refers_to"), F.when(response, F.lit(0)).otherwise(number).alias("copy"))
+
+    if repeated.where("tied > 1").isEmpty():
+        return decided(met, F.col("digest").isNull() | even)
+    # Rows that share page_id and payload get numbers, which are stored with them before one is chosen.
+    among = F.col("digest").isNotNull() & even & (F.col("tied") > 1)
+    alike = stored(met.where(among).withColumn("number", row), "alike")
+    chosen = stored(alike.groupBy("digest").agg(F.min("number").alias("chosen")), "chosen").withColumnRenamed("digest", "d")
+    picked = alike.join(broadcast_if_small(chosen, BROADCAST_DIGESTS), F.col("digest") == F.col("d"))
+    return decided(met.where(~among), F.col("digest").isNull() | even).unionByName(decided(picked, F.col("number") == F.col("chosen"), F.lit(-1) - row))
 
 
 def write_archives(spark: SparkSession, records: DataFrame, folder: str) -> DataFrame:

@@ -404,6 +404,10 @@ def test_warc(spark):
     assert kinds[(2, "response", None)] == 1 and kinds[(2, "revisit", 2)] == 1 and kinds[(1, "revisit", 2)] == 1 and kinds[(None, "revisit", 2)] == 1
     assert kinds[(3, "response", None)] == 1 and kinds[(4, "response", None)] == 1
     assert warc.round_trip(spark, df.limit(0)).count() == 0
+    # very many rows with one page_id and payload, beside others: one response in all
+    same = df.union(spark.createDataFrame([(9, "http://z", big, "x", 1)] * 300, df.schema))
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in rows_of(warc.round_trip(spark, same)))
+    assert kinds[(9, "response", None)] == 1 and kinds[(9, "revisit", 9)] == 299 and kinds[(2, "revisit", 9)] == 2 and kinds[(1, "revisit", 9)] == 1
 
 
 def test_warc_is_checked(spark, tmp_path):
