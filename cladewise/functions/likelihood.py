@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lattice(max_copies: int = 5, alpha: float = 1e-3) -> list[tuple[float, float]]:
+#: Copies that a state stands for, from and to.
+COPIES = {"loss": (1, 1), "neutral": (2, 2), "gain": (3, 5)}
+
+
+def lattice(max_copies: int = 5, alpha: float = 1e-3, min_copies: int = 1) -> list[tuple[float, float]]:
     """(error-adjusted variant fraction, weight): all i/c for c copies and 1 <= i <= c, equal ones merged."""
-    seen = Counter(i / c for c in range(1, max_copies + 1) for i in range(1, c + 1))
+    seen = Counter(i / c for c in range(min_copies, max_copies + 1) for i in range(1, c + 1))
     total = sum(seen.values())
     return [(adjusted(v, alpha), n / total) for v, n in sorted(seen.items())]
 
@@ -39,11 +43,11 @@ def absent(var: Column, total: Column, alpha: float = 1e-3, ln_c: Column | None
     return ln_binomial(var, total, alpha, ln_c)
 
 
-def present(var: Column, total: Column, alpha: float = 1e-3, max_copies: int = 5, ln_c: Column | None = None) -> Column:
+def present(var: Column, total: Column, alpha: float = 1e-3, max_copies: int = 5, ln_c: Column | None = None, min_copies: int = 1) -> Column:
     """Mixture over the lattice; the largest term is taken out of the sum, so that deep reads do not underflow."""
     ln_c = ln_choose(total, var) if ln_c is None else ln_c
-    terms = [var * log(v) + (total - var) * log(1 - v) + log(w) for v, w in lattice(max_copies, alpha)]
-    top = F.greatest(*terms)
+    terms = [var * log(v) + (total - var) * log(1 - v) + log(w) for v, w in lattice(max_copies, alpha, min_copies)]
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
     return ln_c + top + F.ln(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
 
 
@@ -52,3 +56,10 @@ def with_likelihoods(reads: DataFrame, alpha: float = 1e-3, max_copies: int = 5)
     k, n, c = F.col("var"), F.col("total"), F.col("_ln_c")
     out = reads.withColumn("_ln_c", ln_choose(n, k))
     return out.withColumn("ll0", absent(k, n, alpha, c)).withColumn("ll1", present(k, n, alpha, max_copies, c)).drop("_ln_c")
+
+
+def present_by_state(reads: DataFrame, alpha: float = 1e-3, copies: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(cell_id, snv_id, state, ll): presence under the copies that each state stands for. A narrow projection."""
+    k, n, c = F.col("var"), F.col("total"), F.col("_ln_c")
+    each = [F.struct(F.lit(s).alias("state"), present(k, n, alpha, hi, c, lo).alias("ll")) for s, (lo, hi) in (copies or COPIES).items()]
+    return reads.withColumn("_ln_c", ln_choose(n, k)).select("cell_id", "snv_id", F.inline(F.array(*each)))

@@ -265,10 +265,16 @@ _SHOWS = {
 }
 
 
-def planted(s, d, kind: str, clones: int):
-    """facts and vectors of all cells: every read of an SNV that the cell's clone has is a variant read."""
-    reads = R.reads(s, d).withColumn("var", F.when(F.expr(_SHOWS[kind]), F.col("total")).otherwise(0))
-    facts = keep(with_likelihoods(reads))
+def _shown(kind: str):
+    """Variant reads with errors: one in five of the variants that a clone has is dropped, one absent in a thousand shows."""
+    u = uniform(11, F.col("cell_id"), F.col("snv_id"))
+    return F.when(F.expr(_SHOWS[kind]), F.when(u < 0.8, F.col("total")).otherwise(0)).otherwise(F.when(u < 0.001, 1).otherwise(0)).cast("long")
+
+
+def planted(s, d, kind: str, clones: int, errors: bool = True):
+    """facts and vectors of all cells, for clones planted on all observations."""
+    shown = _shown(kind) if errors else F.when(F.expr(_SHOWS[kind]), F.col("total")).otherwise(0)
+    facts = keep(with_likelihoods(R.reads(s, d).withColumn("var", shown)))
     vec = facts.select("cell_id").distinct().select("cell_id", F.array((F.col("cell_id") % clones).cast("double"), (F.col("cell_id") % 7 / 100).cast("double")).alias("vec"))
     return facts, keep(vec)
 
@@ -298,10 +304,5 @@ def t4(s, d):
 
 @query("t3_linear_search", W("reads") + "select distinct cell_id, case when cell_id % 2 = 0 then 'A' else 'B' end cp from reads")
 def t3(s, d):
-    """The best of several restarts on reads with errors: one in five variants is dropped, one absent in a thousand shows."""
-    u = uniform(11, F.col("cell_id"), F.col("snv_id"))
-    shown = F.when(F.expr(_SHOWS["linear"]), F.when(u < 0.8, F.col("total")).otherwise(0)).otherwise(F.when(u < 0.001, 1).otherwise(0))
-    facts = keep(with_likelihoods(R.reads(s, d).withColumn("var", shown.cast("long"))))
-    vec = facts.select("cell_id").distinct().select("cell_id", F.array((F.col("cell_id") % 2).cast("double"), (F.col("cell_id") % 7 / 100).cast("double")).alias("vec"))
-    got = split.search("linear", facts, facts.select("cell_id").distinct(), facts.select("snv_id").distinct(), keep(vec), Params(starts=4, iterations=4))
-    return got.cells.select("cell_id", "cp") if got else s.createDataFrame([], "cell_id long, cp string")
+    """The cells of the best of the restarts that T1 runs."""
+    return _found(s, d, "linear").where("kind = 'cell'").select(F.col("id").alias("cell_id"), F.col("part").alias("cp"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import relations as R
+from ..functions.likelihood import present_by_state
 from ..operators import assign, cna, tree
 from ..sources import mappings
 from .registry import query
@@ -169,14 +170,16 @@ def j9(s, d):
     return cna.arms(runs, arms, 43).select("cell_id", "arm")
 
 
-_BY = ", by_state as (select cell_id, snv_id, state, ll1 + case state when 'gain' then 0.1e0 when 'loss' then -0.1e0 else 0 end ll from lik, (values ('gain'), ('loss'), ('neutral')) t(state))"
+_BY = (
+    ", points as (select state, i / c::double v from (values ('loss', 1, 1), ('neutral', 2, 2), ('gain', 3, 5)) t(state, lo, hi), range(1, 6) a(c), range(1, 6) b(i) where c between lo and hi and i <= c), "
+    "mix as (select state, v * (1 - 1e-3) + (1 - v) * 1e-3 / 3e0 v, count(*) / (sum(count(*)) over (partition by state))::double w from points group by state, v), "
+    "by_state as (select cell_id, snv_id, state, any_value(lnc) + ln(sum(w * exp(var * ln(v) + (total - var) * ln(1 - v)))) ll from lik, mix group by cell_id, snv_id, state)"
+)
 _PRES = ", pres as (select distinct c.node, s.snv_id from (select anc, node from closure union all select node, node from nodes) c join snv_node s on s.node = c.anc)"
 
 
 def _by(s, d):
-    up = F.when(F.col("state") == "gain", 0.1).when(F.col("state") == "loss", -0.1).otherwise(0.0)
-    states = s.createDataFrame([(x,) for x in cna.STATES], "state string")
-    return R.loaded(s, d).crossJoin(F.broadcast(states)).select("cell_id", "snv_id", "state", (F.col("ll1") + up).alias("ll"))
+    return present_by_state(R.reads(s, d))
 
 
 @query("l6_likelihood_by_state", W("lik") + _BY + " select state, round(sum(ll), 3) ll from by_state group by 1")

@@ -283,3 +283,14 @@ def test_command_line(spark, tmp_path):
 
     edges, cells, _ = files.load_tree(spark, at("all/tree_0"))
     assert edges.count() >= 1 and cells.count() == 40
+
+
+def test_search_with_errors(spark):
+    """T9 on reads of which one in five variants is dropped: clones come out, but for SNVs that lost what tells them apart."""
+    from cladewise.plans import splits
+
+    facts, vec = splits.planted(spark, "/root/testdata/sf0.01", "path", 3)
+    found = trees.best_of_runs(trees.Data(facts, vec), Params(starts=2, iterations=4, seed=7, min_obs=1), runs=1).tree
+    for df, ident in ((found.cell_node, "cell_id"), (found.snv_node, "snv_id")):
+        rows = df.select(ident, "node").collect()
+        assert np.mean([r["node"] == r[ident] % 3 for r in rows]) >= 0.99
