@@ -1,12 +1,15 @@
-"""Copy-number states along chromosomes: emissions, transitions, path likelihood and decoding, all as column folds."""
+"""Copy-number states along chromosomes: emissions, transitions, path likelihood as column sums, decoding as scans over blocks of bins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import keep
+
 # Fixed value: the states in the order that ties follow.
 STATES = ["gain", "loss", "neutral"]
 
@@ -50,37 +53,89 @@ def mean_profile(rdr: DataFrame) -> DataFrame:
     return rdr.groupBy("chrom", "bin").agg(F.avg("value").alias("x"))
 
 
-def viterbi(profile: DataFrame, emissions: dict[str, tuple[float, float]], beta: float = 0.1) -> DataFrame:
-    """(chrom, loglik, path array<struct<bin, state>>) of the likeliest states for the mean values of each chromosome.
+#: Elements that one fold takes; longer chromosomes are folded block by block, in as many levels as it takes.
+SCAN_BLOCK = 256
+#: Scores of a decoding are whole multiples of this, so that sums are the same in whatever order blocks are put together.
+UNIT = 2.0**-30
 
-    A fold over the bins keeps three scores and, for each bin, where they came from; a second fold walks back. Ties take
-    the first state on the way and the last one at the end.
-    """
-    e = F.array(*[log_normal(F.col("x"), *emissions[s]) for s in STATES])
-    rows = profile.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("bin", e.alias("e")))).alias("o"))
-    t = step(beta)
 
-    def came(s: Column, j: int) -> Column:
-        a, b, c = (s[i] + t[i][j] for i in range(3))
+def _scan(rows: DataFrame, span: int, start: Column, apply: Callable, merge: Callable) -> DataFrame:
+    """(chrom, at, m, v): v is what the elements m at smaller places make of `start`, one after another.
+
+    apply(v, m) is one step, merge(m1, m2) the element that does m1, then m2. at: whole numbers, distinct in a chromosome, at
+    most `span` from end to end. A block's rows are one array; blocks meet only through their merged elements.
+    """
+    blocks = rows.groupBy("chrom", F.floor(F.col("at") / SCAN_BLOCK).alias("blk") if span > SCAN_BLOCK else F.lit(0).cast("long").alias("blk"))
+    blocks = blocks.agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("o"))
+    if span > SCAN_BLOCK:
+        blocks = keep(blocks, "scan")  # read twice in each level
+        whole = F.aggregate(F.slice("o", 2, F.size("o")), F.col("o")[0]["m"], lambda acc, o: merge(acc, o["m"]))
+        outer = _scan(blocks.select("chrom", F.col("blk").alias("at"), whole.alias("m")), span // SCAN_BLOCK + 2, start, apply, merge)
+        blocks = blocks.join(outer.select("chrom", F.col("at").alias("blk"), "v"), ["chrom", "blk"])
+    else:
+        blocks = blocks.withColumn("v", start)
+    first = F.struct(F.col("v"), F.array(F.col("v")).alias("vs"))
+
+    def one(acc: Column, o: Column) -> Column:
+        v = apply(acc["v"], o["m"])
+        return F.struct(v.alias("v"), F.concat(acc["vs"], F.array(v)).alias("vs"))
+
+    vs = F.aggregate("o", first, one)["vs"]
+    return blocks.select("chrom", F.explode(F.arrays_zip("o", F.slice(vs, 1, F.size("o")).alias("vs"))).alias("r")).select("chrom", "r.o.at", "r.o.m", F.col("r.vs").alias("v"))
+
+
+def decode(profile: DataFrame, emissions: dict[str, tuple[float, float]], beta: float = 0.1) -> DataFrame:
+    """(chrom, bin, state, emission, move): the likeliest states for the values x of each chromosome (a row a bin, whole numbers).
+
+    Two scans that put blocks of bins together in any order: products of max-plus matrices give the scores in front of each
+    bin, hence where each state came from; chained from the end, those choices give the states. Ties take the first state on
+    the way and the last one at the end. Values that are null or not finite say nothing. move is the log-probability of the
+    step into the bin (ln 1/3 for the first). Scores count in UNITs; more than 2^63 of them are an error.
+    """
+    x = F.when(F.isnan("x") | (F.abs("x") == float("inf")), None).otherwise(F.col("x"))
+    e = F.array(*[F.coalesce(log_normal(x, *emissions[s]), F.lit(0.0)) for s in STATES])
+    rows = keep(profile.where("bin is not null").select("chrom", F.col("bin").cast("long").alias("at"), e.alias("e")), "profile")
+    ends = rows.groupBy("chrom").agg(F.min("at").alias("a"), F.max("at").alias("z"))
+    span = (ends.agg(F.max(F.col("z") - F.col("a"))).first()[0] or 0) + 2
+    units = lambda v: F.round(v / UNIT).cast("long")
+    t = [[round(v / UNIT) for v in r] for r in step(beta)]
+    m = F.array(*[units(F.col("e")[j]) + t[i][j] for i in range(3) for j in range(3)])
+    # A row past the end takes the final scores; its element changes nothing that is read.
+    every = rows.select("chrom", "at", m.alias("m")).unionByName(ends.select("chrom", (F.col("z") + 1).alias("at"), F.array_repeat(F.lit(0).cast("long"), 9).alias("m")))
+    forward = _scan(
+        every,
+        span,
+        F.array_repeat(F.lit(0).cast("long"), 3),  # all steps into a state cost alike at best, so the first bin needs no rule
+        lambda v, o: F.array(*[F.greatest(*[v[i] + o[3 * i + j] for i in range(3)]) for j in range(3)]),
+        lambda a, b: F.array(*[F.greatest(*[a[3 * i + k] + b[3 * k + j] for k in range(3)]) for i in range(3) for j in range(3)]),
+    )
+    v = F.col("v")
+
+    def came(j: int) -> Column:
+        a, b, c = (v[i] + t[i][j] for i in range(3))
         return F.when((a >= b) & (a >= c), 0).when(b >= c, 1).otherwise(2)
 
-    def forward(acc: Column, o: Column) -> Column:
-        s = acc["s"]
-        new = F.array(*[F.greatest(*[s[i] + t[i][j] for i in range(3)]) + o["e"][j] for j in range(3)])
-        return F.struct(new.alias("s"), F.concat(acc["b"], F.array(F.array(*[came(s, j) for j in range(3)]))).alias("b"))
+    last = F.when((v[2] >= v[1]) & (v[2] >= v[0]), 2).when(v[1] >= v[0], 1).otherwise(0)
+    scored = forward.join(ends.select("chrom", (F.col("z") + 1).alias("past"), "a"), "chrom")
+    choice = F.when(F.col("at") == F.col("past"), F.array_repeat(last, 3)).otherwise(F.array(*[came(j) for j in range(3)]))
+    back = keep(scored.select("chrom", (-F.col("at")).alias("at"), choice.alias("m")), "choices")
+    states = _scan(back, span, F.lit(0), lambda s, c: c[s], lambda a, b: F.transform(a, lambda s: b[s]))
+    names = F.array(*[F.lit(s) for s in STATES])
+    found = states.select("chrom", (-F.col("at")).alias("at"), F.col("v").alias("s"), F.col("m")[F.col("v")].alias("p"))
+    found = found.join(rows, ["chrom", "at"]).join(ends.select("chrom", "a"), "chrom")
+    move = F.when(F.col("at") == F.col("a"), log(1 / 3)).when(F.col("p") == F.col("s"), log(1 - beta)).otherwise(log(beta / 2))
+    return found.select("chrom", F.col("at").alias("bin"), names[F.col("s")].alias("state"), F.col("e")[F.col("s")].alias("emission"), move.alias("move"))
 
-    start = F.struct(F.transform(F.col("o")[0]["e"], lambda v: v + log(1 / 3)).alias("s"), F.expr("cast(array() as array<array<int>>)").alias("b"))
-    rows = rows.withColumn("f", F.aggregate(F.slice("o", 2, F.greatest(F.size("o") - 1, F.lit(0))), start, forward))
-    s = F.col("f.s")
-    last = F.when((s[2] >= s[1]) & (s[2] >= s[0]), 2).when(s[1] >= s[0], 1).otherwise(0)
-    back = F.aggregate(F.reverse("f.b"), F.array(last), lambda path, b: F.concat(path, F.array(F.element_at(b, F.element_at(path, -1) + 1))))
-    names = F.array(*[F.lit(x) for x in STATES])
-    path = F.zip_with("o", F.reverse(back), lambda o, i: F.struct(o["bin"].alias("bin"), F.element_at(names, i + 1).alias("state")))
-    return rows.select("chrom", F.array_max("f.s").alias("loglik"), path.alias("path"))
 
+def decoded_score(decoded: DataFrame) -> DataFrame:
+    """(chrom, loglik) of decoded states."""
+    return decoded.groupBy("chrom").agg(F.sum(F.col("emission") + F.col("move")).alias("loglik"))
 
-def states_of(decoded: DataFrame) -> DataFrame:
-    return decoded.select("chrom", F.explode("path").alias("p")).select("chrom", "p.bin", "p.state")
+
+def viterbi(profile: DataFrame, emissions: dict[str, tuple[float, float]], beta: float = 0.1) -> DataFrame:
+    """(chrom, loglik, path array<struct<bin, state>>): decode() with a chromosome's bins in one row."""
+    path = F.sort_array(F.collect_list(F.struct("bin", "state"))).alias("path")
+    return decode(profile, emissions, beta).groupBy("chrom").agg(F.sum(F.col("emission") + F.col("move")).alias("loglik"), path)
 
 
 def bins_by_state(states: DataFrame) -> DataFrame:

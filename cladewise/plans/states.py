@@ -102,12 +102,12 @@ _VITERBI = (
 
 @query("h6_viterbi_path", W("bins") + _VITERBI + "select o.chrom, o.bin, ['gain', 'loss', 'neutral'][s + 1] state from z join o on o.chrom = z.chrom and o.i = z.i")
 def h6(s, d):
-    return cna.states_of(cna.viterbi(cna.mean_profile(_rdr(s, d)), _EM))
+    return cna.decode(cna.mean_profile(_rdr(s, d)), _EM).select("chrom", "bin", "state")
 
 
 @query("w6_viterbi_score", W("bins") + _VITERBI + "select f.chrom, round(greatest(a, b, c), 6) loglik from f join e on e.chrom = f.chrom and e.k = f.i")
 def w6(s, d):
-    return cna.viterbi(cna.mean_profile(_rdr(s, d)), _EM).select("chrom", F.round("loglik", 6).alias("loglik"))
+    return cna.decoded_score(cna.decode(cna.mean_profile(_rdr(s, d)), _EM)).select("chrom", F.round("loglik", 6).alias("loglik"))
 
 
 @query("h7_bins_by_state", W("bins") + _PROFILE + _STATE + " select s state, array_to_string(list(bin order by bin), ',') bins from st group by 1")
