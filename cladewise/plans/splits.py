@@ -8,7 +8,7 @@ from .. import relations as R
 from ..config import Params
 from ..functions.likelihood import with_likelihoods
 from ..functions.uniform import uniform
-from ..operators import assign, bipartition, layout, scoring, spectral
+from ..operators import assign, bipartition, donors, layout, scoring, spectral
 from ..operators import counts as C
 from ..operators import features as X
 from ..search import split
@@ -97,18 +97,18 @@ def _gaps(s, d):
 
 @query("j6_nearest_donor", W("reads", "embedding") + _F + _GAPS + " select cell_id, donor from best")
 def j6(s, d):
-    return X.nearest_donor(_copy(s, d), _gaps(s, d), ["fa", "fb"])
+    return donors.nearest_donor(R.embedding(s, d), _gaps(s, d), ["fa", "fb"])
 
 
 @query("f9_imputed", W("reads", "embedding") + _F + _GAPS + " select g.cell_id, round(case when donor is null then g.fa else h.fa end, 9) fa, round(case when donor is null then g.fb else h.fb end, 9) fb from g left join best using (cell_id) left join g h on h.cell_id = donor")
 def f9(s, d):
-    return X.impute(_gaps(s, d), _copy(s, d), ["fa", "fb"]).select("cell_id", F.round("fa", 9).alias("fa"), F.round("fb", 9).alias("fb"))
+    return donors.impute(_gaps(s, d), R.embedding(s, d), ["fa", "fb"]).select("cell_id", F.round("fa", 9).alias("fa"), F.round("fb", 9).alias("fb"))
 
 
 @query("f9_not_imputed", W("reads") + _F + " select cell_id, cast(null as double) fa, round(fb, 9) fb from f")
 def f9n(s, d):
     mostly = _f(s, d).select("cell_id", F.lit(None).cast("double").alias("fa"), "fb")
-    return X.impute(mostly, _copy(s, d), ["fa", "fb"]).select("cell_id", "fa", F.round("fb", 9).alias("fb"))
+    return donors.impute(mostly, R.embedding(s, d), ["fa", "fb"]).select("cell_id", "fa", F.round("fb", 9).alias("fb"))
 
 
 @query("f2_raw_embedding", W("embedding") + "select cell_id, round(vec[1], 6) x, len(vec) n from embedding")
