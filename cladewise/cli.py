@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Params
 from .functions.likelihood import with_likelihoods
 from .operators import bipartition, counts, layout
 from .search import trees
-from .sources import files
+from .sources import files, pictures
 from .storage import keep
 
 # Names, short forms and defaults of the options of the tool this one stands in for.
@@ -32,9 +33,9 @@ NUMBERS = [
 OUTPUTS = [
     ("-n", "--pred_cell", "clusters of cells"),
     ("-m", "--pred-mut", "clusters of SNVs"),
-    (None, "--tree", "the best tree as DOT text"),
+    (None, "--tree", "the best tree: a PNG file if the name ends with .png, else DOT text"),
     (None, "--tree_pickle", "the best tree as a folder of tables"),
-    (None, "--tree_path", "DOT text of all candidate trees, a folder for each"),
+    (None, "--tree_path", "PNG files of all candidate trees, and DOT text in a folder for each"),
     (None, "--tree_list", "all candidate trees as folders of tables"),
     (None, "--tree_text", "edges of the best tree"),
     (None, "--likelihood", "normalised likelihoods of all candidate trees"),
@@ -60,6 +61,13 @@ def options() -> argparse.ArgumentParser:
     return p
 
 
+def drawn(some: list[trees.Tree]) -> DataFrame:
+    """Pictures of the trees, numbered from 0."""
+    parts = [[df.withColumn("tree_id", F.lit(i).cast("long")) for df in (t.edge_table(), t.cell_node, t.snv_node)] for i, t in enumerate(some)]
+    edges, cells, snvs = (reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    return pictures.pictures(edges, pictures.node_lines(edges, cells, snvs))
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Found:
     o = options().parse_args(argv)
     raw = counts.composite_key(files.read_variants(spark, o.file, not o.keep_first_line))
@@ -86,10 +94,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> trees.Found:
         files.write_csv(files.cell_assignment(tree.cell_node, cells), o.pred_cell)
     if o.pred_mut:
         files.write_csv(files.snv_assignment(tree.snv_node, snvs), o.pred_mut)
-    if o.tree:
+    if o.tree and o.tree.lower().endswith(".png"):
+        pictures.write_pictures(drawn([tree]), lambda _: o.tree)
+    elif o.tree:
         dot(tree).orderBy("ord").select("line").coalesce(1).write.text(o.tree)
     if o.tree_pickle:
         files.save_tree(o.tree_pickle, tree.edge_table(), tree.cell_node, tree.snv_node)
+    for lo in range(0, len(found.candidates) if o.tree_path else 0, trees.BATCH):
+        some = found.candidates[lo : lo + trees.BATCH]
+        scores = {r["tree_id"]: r["loglik"] for r in trees.score(some, data, o.mode == "rd").collect()} if found.series else {}  # a row for each tree
+        pictures.write_pictures(drawn(some), lambda i: f"{o.tree_path}/{pictures.candidate_name(lo + i, scores.get(i), params.compat)}")  # noqa: B023
     for i, t in enumerate(found.candidates):
         if o.tree_path:
             dot(t).orderBy("ord").select("line").coalesce(1).write.text(f"{o.tree_path}/tree_{i}")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import relations as R
 from ..operators import scoring, tree
-from ..sources import files
+from ..sources import files, pictures
 from ..storage import new_folder
 from ..streaming import ingest
 from .registry import query
@@ -98,6 +98,44 @@ def k7(s, d):
     return files.dot_lines(R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d), scores, label="tree").select("ord.part", "ord.node", "ord.to", "line")
 
 
+_SAID = "select n.tree_id, n.node, n.node || '|cells: ' || (select count(*) from c where c.tree_id = n.tree_id and c.node = n.node) || '|SNVs: ' || (select count(*) from m where m.tree_id = n.tree_id and m.node = n.node)"
+
+
+def _two_trees(s, d):
+    """Edges, cells and SNVs of two trees: that of five nodes, and one that has odd ids below even ones."""
+    at = lambda df, i: df.withColumn("tree_id", F.lit(i).cast("long"))
+    by = lambda df, c: df.select(c, (F.col(c) % 2).cast("int").alias("node"))
+    edges = at(R.edges(s, d), 0).unionByName(at(s.createDataFrame([(0, 1)], "parent int, child int"), 1))
+    cells = at(R.cell_node(s, d), 0).unionByName(at(by(R.cells(s, d), "cell_id"), 1))
+    return edges, cells, at(R.snv_node(s, d), 0).unionByName(at(by(R.snvs(s, d), "snv_id"), 1))
+
+
+@query(
+    "k7_box_lines",
+    W("nodes", "cell_node", "snv_node", "lik", "closure")
+    + _BYNODE.rstrip()
+    + ", c as (select 0 tree_id, node from cell_node union all select 1, cell_id % 2 from cell_node), m as (select 0 tree_id, node from snv_node union all select 1, snv_id % 2 from snv_node), "
+    + "n as (select 0 tree_id, node, v from nodes left join v using (node) union all values (1, 0, null), (1, 1, null)) "
+    + _SAID
+    + " || case when v is null then '' else '|' || format('{:,.2f}', v) end line from n",
+)
+def k7_lines(s, d):
+    """What the boxes of a picture say: two trees, of which one has scores."""
+    edges, cells, snvs = _two_trees(s, d)
+    scores = scoring.variant_by_node(R.loaded(s, d), R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d)).select(F.lit(0).cast("long").alias("tree_id"), "node", F.col("variant").alias("score"))
+    return pictures.node_lines(edges, cells, snvs, scores).select("tree_id", "node", F.array_join("lines", "|").alias("line"))
+
+
+@query("k8_candidate_pictures", "select 0::bigint tree_id, true is_png union all select 1, true")
+def k8_pictures(s, d):
+    """Two trees drawn, written as PNG files and read back."""
+    edges, cells, snvs = _two_trees(s, d)
+    at = _folder(s)
+    pictures.write_pictures(pictures.pictures(edges, pictures.node_lines(edges, cells, snvs)), lambda i: f"{at}/tree{i}.png")
+    back = s.read.format("binaryFile").load(at)
+    return back.select(F.regexp_extract("path", r"tree(\d+)\.png$", 1).cast("long").alias("tree_id"), (F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A").alias("is_png"))
+
+
 @query("g23_labels", W("cell_node", "snv_node", "nodes") + "select n.node, n.node || '|' || (select count(*) from cell_node c where c.node = n.node) || '|' || (select count(*) from snv_node s where s.node = n.node) label from nodes n")
 def g23(s, d):
     lines = files.dot_lines(R.edges(s, d), R.cell_node(s, d), R.snv_node(s, d)).where("ord.part = 1")

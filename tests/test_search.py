@@ -272,13 +272,16 @@ def test_command_line(spark, tmp_path):
     with open(tmp_path / "bins.csv", "w") as f:
         f.write("cell,bin1,bin2,bin3\n" + "".join(f"c{c:02d},{10 + c // 20 * 5},{20 + c % 7},{30}\n" for c in range(40)))
     at = lambda x: str(tmp_path / x)
-    found = cli.run(spark, ["-f", at("reads.tsv"), "--bin_count_data", at("bins.csv"), "-s", "2", "-j", "3", "-d", "3", "--min_obs", "1", "--radius", "1", "-n", at("cells"), "--pred-mut", at("snvs"), "--tree_text", at("text"), "--tree", at("dot"), "--tree_pickle", at("best"), "--tree_list", at("all"), "--tree_path", at("dots"), "--likelihood", at("likelihood"), "--embedding", at("xy"), "--no-umap"])
+    found = cli.run(spark, ["-f", at("reads.tsv"), "--bin_count_data", at("bins.csv"), "-s", "2", "-j", "3", "-d", "3", "--min_obs", "1", "--radius", "1", "-n", at("cells"), "--pred-mut", at("snvs"), "--tree_text", at("text"), "--tree", at("tree.png"), "--tree_pickle", at("best"), "--tree_list", at("all"), "--tree_path", at("dots"), "--likelihood", at("likelihood"), "--embedding", at("xy"), "--no-umap"])
     assert len(found.tree.ncells) == 2
     by = groups(spark.read.option("header", True).csv(at("cells")), "cell", "cluster")
     assert set(map(frozenset, by.values())) == {frozenset(f"c{c:02d}" for c in range(a, a + 20)) for a in (0, 20)}
     assert spark.read.option("header", True).csv(at("snvs")).count() == 60
     assert [r["value"] for r in spark.read.text(at("text")).collect()] == ["1 #edges", "0 1", "1 #leaves", "1"]
     assert spark.read.option("header", True).csv(at("likelihood")).count() == len(found.candidates)
+    assert (tmp_path / "tree.png").read_bytes()[:4] == b"\x89PNG"
+    assert len(list((tmp_path / "dots").glob("tree*_*.png"))) == len(found.candidates)
+    assert spark.read.text(at("dots/tree_0")).count() > 2
     from cladewise.sources import files
 
     edges, cells, _ = files.load_tree(spark, at("all/tree_0"))
