@@ -13,11 +13,12 @@ from . import tree
 def variant_by_node(facts: DataFrame, edges: DataFrame, cell_node: DataFrame, snv_node: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     """(node, variant): over all SNVs of the data; an SNV on the node's path or gained there counts as present.
 
-    One pass over the facts: what is present is a small table beside them.
+    One pass over the facts, summed up by (node, SNV) where they lie; only these sums meet what is present.
     """
     at = facts.join(cell_node.select("cell_id", "node"), "cell_id")
+    sums = at.groupBy("node", "snv_id").agg(F.sum("ll0").alias("ll0"), F.sum("ll1").alias("ll1"))
     here = tree.presence(edges, snv_node, "snv_id", lost).withColumn("here", F.lit(True))
-    each = at.join(here, ["node", "snv_id"], "left")
+    each = sums.join(here, ["node", "snv_id"], "left")
     return each.groupBy("node").agg(F.sum(F.when(F.col("here"), F.col("ll1")).otherwise(F.col("ll0"))).alias("variant"))
 
 
