@@ -317,6 +317,12 @@ def encoder(path: str, end_id: int) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+def id_column(ids: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """The bytes of each text's ids, as one column made at once."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * int(kind[-1])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+
+
 # --- over tables ------------------------------------------------------------------------------------------------------
 
 
@@ -398,13 +404,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
             keys, texts = _keys(batch.column("doc_id")), batch.column("text")
             for lo, hi in slices(texts, ENCODED_BYTES):
                 ids, counts = coder.encode(texts[lo:hi])
-                parts = np.split(ids.astype(coder.kind), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[lo:hi]),
                         pa.array(plan.shard_of(keys[lo:hi], np.asarray(batch.column("salt")[lo:hi], np.int64))),
                         batch.column("tie")[lo:hi],
-                        pa.array([x.tobytes() for x in parts], pa.binary()),
+                        id_column(ids, counts, coder.kind),
                     ],
                     ["key", "shard", "tie", "ids"],
                 )
@@ -456,9 +461,9 @@ def look_up(shards: Shards, keys: DataFrame) -> DataFrame:
         keys = np.array(wanted, np.int64)
         first, times = index.find(keys)
         record = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        keys, size = np.repeat(keys, times), int(index.dtype[-1])
+        keys, wide = np.repeat(keys, times), np.frombuffer(payload, index.dtype).astype("<u4")
         lo, hi = index.offsets[record].astype(np.int64), index.offsets[record + 1].astype(np.int64)
-        crc = [zlib.crc32(np.frombuffer(payload, index.dtype, b - a, a * size).astype("<u4").tobytes()) for a, b in zip(lo.tolist(), hi.tolist())]
+        crc = [zlib.crc32(wide[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64(), mask=keys == NULL_KEY), pa.array(np.full(len(keys), shard, np.int32)), pa.array(lo), pa.array(hi - lo), pa.array(crc, pa.int64())],
             ["doc_id", "shard", "at", "n_tokens", "ids_crc32"],

@@ -69,3 +69,13 @@ def test_long_stems(path):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice([*"etaoinshrdlué"], n)) for n in rng.integers(1, 14, 10_000)] + ["qx" * 5000]
     same_as_whole(token_index.WordEncoder(path, 1), Tokenizer.from_file(path), [" ".join(words), words[-1]])
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_id_column(kind):
+    """One column for all texts has the bytes of each, those without ids too."""
+    ids, counts = np.arange(7, dtype="<u4") * 9000, np.array([0, 3, 0, 4, 0])
+    column = token_index.id_column(ids, counts, kind)
+    column.validate(full=True)
+    assert column.to_pylist() == [x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert len(token_index.id_column(ids[:0], counts[:0], kind)) == 0
